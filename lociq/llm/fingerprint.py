@@ -22,7 +22,8 @@ SMALL = 8
 #: Least cells of a region in the larger table, and cells for each paragraph of the pair.
 LARGE, ROOM = 256, 4
 CYCLES = 3
-BUCKET_ROWS, MOST_BUCKETS = 1000, 4096
+#: Rows of a bucket, the most buckets, and buckets of a task: a task's sketches should fit into its memory.
+BUCKET_ROWS, MOST_BUCKETS, TASK_BUCKETS = 250, 1 << 16, 4
 
 
 def digests(text: Column, words: int = WORDS) -> Column:
@@ -87,6 +88,8 @@ def next_texts(docs: DataFrame) -> DataFrame:
             ).otherwise(F.array(F.struct("bucket", F.lit(0).alias("copy"))))
         ).alias("place"),
     ).select("doc_id", "text", "key", "place.bucket", "place.copy")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(heads) // TASK_BUCKETS)
+    copied = copied.repartition(tasks, "bucket")
     w = Window.partitionBy("bucket").orderBy("copy", F.desc("key"), F.xxhash64("text"))
     placed = copied.withColumns({"next": F.lead("text").over(w), "row": F.row_number().over(w)})
     return placed.where("copy = 0").select("bucket", "doc_id", "row", "text", "next")
