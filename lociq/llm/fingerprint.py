@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REGIONS = 3
-WORDS = 8
+WORDS = 12
 #: Cells of a region in the stored sketch: a power of two.
 SMALL = 8
 #: Least cells of a region in the larger table, and cells for each paragraph of the pair.
 LARGE, ROOM = 256, 4
-CYCLES = 3
+CYCLES = 2
 #: Rows of a bucket, the most buckets, and buckets of a task: a task's sketches should fit into its memory.
 BUCKET_ROWS, MOST_BUCKETS, TASK_BUCKETS = 250, 1 << 16, 4
 
