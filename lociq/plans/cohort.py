@@ -1,37 +1,176 @@
-"""Cohort queries: overlap matrices, region selections, truth comparison."""
+"""Cohort queries: overlap matrices, region selections, truth comparison, genotype counts."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociq.operators import intervals as iv
 from lociq.plans.fixtures import duck, view
 
+COLS = ("p1", "p2", "q1", "q2")
+SAMPLES = range(1, 8)
 
-def universe(cnv):
-    return iv.length_between(cnv).select("tid", "p1", "p2").distinct()
 
+def cnv(spark, sf_dir):
+    return view(spark, sf_dir, "fx_cnv")
 
-def matrix_cells(cnv, share: float = 0.5):
+
+def universe(calls):
+    return iv.length_between(calls).select("tid", "p1", "p2").distinct()
+
+
+def matrix_cells(calls, share: float = 0.5):
     """Cells of the call-by-sample matrix: of a sample's calls that overlap enough, the last in order counts."""
-    calls = iv.length_between(cnv).select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), "sample_no")
-    met = iv.overlap_join(universe(cnv), calls)
-    cols = [F.col(c) for c in ("p1", "p2", "q1", "q2")]
-    kept = met.where(iv.reciprocal(*cols, share) & (iv.overlap(*cols) > 0))
+    own = iv.length_between(calls).select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), "sample_no")
+    cols = [F.col(c) for c in COLS]
+    kept = iv.overlap_join(universe(calls), own).where(iv.reciprocal(*cols, share) & (iv.overlap(*cols) > 0))
     return kept.groupBy("tid", "p1", "p2", "sample_no").agg(F.max_by(iv.overlap(*cols), F.struct("q1", "q2")).alias("cell"))
 
 
 def cohort_overlap_matrix(spark, sf_dir):
-    cells = matrix_cells(view(spark, sf_dir, "fx_cnv"))
-    return cells.groupBy("tid", "p1", "p2").agg(F.count("*").alias("rowsum"))
+    return matrix_cells(cnv(spark, sf_dir)).groupBy("tid", "p1", "p2").agg(F.count("*").alias("rowsum"))
+
+
+def cohort_matrix_pivot(spark, sf_dir):
+    cells = matrix_cells(cnv(spark, sf_dir))
+    own = [F.coalesce(F.max(F.when(F.col("sample_no") == i, F.col("cell"))), F.lit(0)).alias(f"s{i}") for i in SAMPLES]
+    return cells.groupBy("tid", "p1", "p2").agg(*own)
+
+
+def cohort_marginals(spark, sf_dir):
+    cells = matrix_cells(cnv(spark, sf_dir))
+    return cells.groupBy("sample_no").agg(F.count("*").alias("calls"), F.sum("cell").alias("bases"))
+
+
+def reciprocal_overlap_pairs(spark, sf_dir):
+    a = cnv(spark, sf_dir).select("tid", "p1", "p2", "sample_no")
+    b = a.select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("sample_no").alias("other"))
+    met = iv.overlap_join(a, b).where("sample_no < other")
+    return met.where(iv.reciprocal(*[F.col(c) for c in COLS], 0.8)).groupBy("sample_no", "other").agg(F.count("*").alias("n"))
+
+
+def windows(spark, sf_dir):
+    return view(spark, sf_dir, "fx_region").select("tid", F.col("beg").alias("q1"), F.col("fin").alias("q2"))
+
+
+def region_overlap(spark, sf_dir):
+    return iv.overlap_join(cnv(spark, sf_dir), windows(spark, sf_dir), how="left_semi")
+
+
+def region_inside(spark, sf_dir):
+    met = iv.overlap_join(cnv(spark, sf_dir), windows(spark, sf_dir))
+    return met.where("p1 >= q1 and p2 <= q2").select("sample_no", "tid", "p1", "p2", "type").distinct()
+
+
+def outside_regions(spark, sf_dir):
+    return iv.overlap_join(cnv(spark, sf_dir), windows(spark, sf_dir), how="left_anti")
+
+
+def truth(spark, sf_dir):
+    return cnv(spark, sf_dir).where("sample_no = 1 and (p1 + tid) % 5 = 0").select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2")).distinct()
+
+
+def truth_hits(spark, sf_dir):
+    return iv.overlap_join(cnv(spark, sf_dir).where("sample_no = 2"), truth(spark, sf_dir), how="left_semi")
+
+
+def false_positives(spark, sf_dir):
+    return iv.overlap_join(cnv(spark, sf_dir).where("sample_no = 2 and p2 - p1 > 5"), truth(spark, sf_dir), how="left_anti")
+
+
+def point_in_interval(spark, sf_dir):
+    points = view(spark, sf_dir, "fx_read").select("read_id", "tid", "pos")
+    met = iv.point_in(points, cnv(spark, sf_dir).where("sample_no = 3").select("tid", "p1", "p2", "type"))
+    return met.groupBy("read_id").agg(F.count("*").alias("n"), F.max_by("type", F.struct("p1", "p2", "type")).alias("type"))
+
+
+def annotation_lookup(spark, sf_dir):
+    notes = cnv(spark, sf_dir).where("sample_no = 4").groupBy("tid", "p1", "p2").agg(F.max("type").alias("note"))
+    own = cnv(spark, sf_dir).where("sample_no = 5").select("tid", "p1", "p2", "type")
+    return own.join(notes, ["tid", "p1", "p2"], "left").withColumn("note", F.coalesce("note", F.lit("#")))
+
+
+def distinct_calls(spark, sf_dir):
+    """One row of calls with equal coordinates, its type the first sample's."""
+    first = F.min_by("type", F.struct("sample_no", "type")).alias("type")
+    return cnv(spark, sf_dir).groupBy("tid", "p1", "p2").agg(first)
+
+
+def greedy_interval_union(spark, sf_dir):
+    return iv.greedy_union(cnv(spark, sf_dir).where("sample_no = 6"))
+
+
+def allele_counts(spark, sf_dir):
+    g = view(spark, sf_dir, "fx_geno")
+    return g.groupBy("site", "grp").agg(F.sum("gt").cast("long").alias("ac"), (2 * F.count("*")).alias("an"), F.sum("dp").cast("long").alias("dp"))
+
+
+def hwe_chi2(spark, sf_dir):
+    g = view(spark, sf_dir, "fx_geno").groupBy("site").agg(*[F.count_if(F.col("gt") == i).alias(f"n{i}") for i in range(3)])
+    n = F.col("n0") + F.col("n1") + F.col("n2")
+    p = (2 * F.col("n0") + F.col("n1")) / (2 * n)
+    expected = [n * p * p, 2 * n * p * (1 - p), n * (1 - p) * (1 - p)]
+    chi = sum(F.when(e > 0, (F.col(f"n{i}") - e) * (F.col(f"n{i}") - e) / e).otherwise(0.0) for i, e in enumerate(expected))
+    return g.select("site", "n0", "n1", "n2", F.round(chi, 6).alias("chi2"))
+
+
+def group_chi2(spark, sf_dir):
+    """2 x 2 test of alternative alleles between two groups at each site."""
+    g = view(spark, sf_dir, "fx_geno").where("grp in ('click', 'view')").groupBy("site").agg(
+        F.sum(F.when(F.col("grp") == "click", F.col("gt")).otherwise(0)).alias("a"), F.sum(F.when(F.col("grp") == "click", 2 - F.col("gt")).otherwise(0)).alias("b"),
+        F.sum(F.when(F.col("grp") == "view", F.col("gt")).otherwise(0)).alias("c"), F.sum(F.when(F.col("grp") == "view", 2 - F.col("gt")).otherwise(0)).alias("d"),
+    )
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    below = (a + b) * (c + d) * (a + c) * (b + d)
+    chi = F.when(below > 0, (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / below).otherwise(0.0)
+    return g.select("site", "a", "b", "c", "d", F.round(chi, 6).alias("chi2"))
+
+
+def running_median(spark, sf_dir):
+    """Median of five successive values of a user's events; the ends keep their values."""
+    e = view(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    around = F.sort_array(F.collect_list("value").over(w.rowsBetween(-2, 2)))
+    return e.select("event_id", F.when(F.size(around) == 5, F.element_at(around, 3)).otherwise(F.col("value")).alias("median"))
+
 
+QUERIES = {f.__name__: f for f in (
+    cohort_overlap_matrix, cohort_matrix_pivot, cohort_marginals, reciprocal_overlap_pairs, region_overlap, region_inside, outside_regions, truth_hits,
+    false_positives, point_in_interval, annotation_lookup, distinct_calls, greedy_interval_union, allele_counts, hwe_chi2, group_chi2, running_median,
+)}
 
-QUERIES = {"cohort_overlap_matrix": cohort_overlap_matrix}
+CELLS = """WITH u AS (SELECT DISTINCT tid, p1, p2 FROM fx_cnv WHERE p2 - p1 BETWEEN 3 AND 10000000),
+  met AS (SELECT u.tid, u.p1, u.p2, c.sample_no, c.p1 AS q1, c.p2 AS q2, least(c.p2, u.p2) - greatest(c.p1, u.p1) + 1 AS o FROM u JOIN fx_cnv c ON c.tid = u.tid AND c.p1 <= u.p2 AND u.p1 <= c.p2
+    WHERE c.p2 - c.p1 BETWEEN 3 AND 10000000 AND least(c.p2, u.p2) - greatest(c.p1, u.p1) + 1 > 0.5 * greatest(c.p2 - c.p1, u.p2 - u.p1)),
+  cells AS (SELECT tid, p1, p2, sample_no, arg_max(o, CAST(q1 AS BIGINT) * 100000 + q2) AS cell FROM met GROUP BY tid, p1, p2, sample_no) """
+TRUTH = "(SELECT DISTINCT tid, p1, p2 FROM fx_cnv WHERE sample_no = 1 AND (p1 + tid) % 5 = 0) t WHERE t.tid = c.tid AND c.p1 <= t.p2 AND t.p1 <= c.p2"
+INTO = "fx_region g WHERE g.tid = c.tid AND c.p1 <= g.fin AND g.beg <= c.p2"
+EACH = ", ".join(f"coalesce(max(cell) FILTER (sample_no = {i}), 0) AS s{i}" for i in SAMPLES)
 ORACLES = {
-    "cohort_overlap_matrix": duck(
-        """WITH u AS (SELECT DISTINCT tid, p1, p2 FROM fx_cnv WHERE p2 - p1 BETWEEN 3 AND 10000000)
-        SELECT u.tid, u.p1, u.p2, count(DISTINCT c.sample_no) AS rowsum FROM u JOIN fx_cnv c ON c.tid = u.tid AND c.p1 <= u.p2 AND u.p1 <= c.p2
-        WHERE c.p2 - c.p1 BETWEEN 3 AND 10000000 AND least(c.p2, u.p2) - greatest(c.p1, u.p1) + 1 > 0.5 * greatest(c.p2 - c.p1, u.p2 - u.p1)
-        GROUP BY u.tid, u.p1, u.p2"""
-    )
+    "cohort_overlap_matrix": duck(CELLS + "SELECT tid, p1, p2, count(*) AS rowsum FROM cells GROUP BY tid, p1, p2"),
+    "cohort_matrix_pivot": duck(CELLS + f"SELECT tid, p1, p2, {EACH} FROM cells GROUP BY tid, p1, p2"),
+    "cohort_marginals": duck(CELLS + "SELECT sample_no, count(*) AS calls, CAST(sum(cell) AS BIGINT) AS bases FROM cells GROUP BY sample_no"),
+    "reciprocal_overlap_pairs": duck("""SELECT a.sample_no, b.sample_no AS other, count(*) AS n FROM fx_cnv a JOIN fx_cnv b ON a.tid = b.tid AND a.p1 <= b.p2 AND b.p1 <= a.p2 AND a.sample_no < b.sample_no
+      WHERE least(a.p2, b.p2) - greatest(a.p1, b.p1) + 1 > 0.8 * greatest(a.p2 - a.p1, b.p2 - b.p1) GROUP BY 1, 2"""),
+    "region_overlap": duck(f"SELECT * FROM fx_cnv c WHERE EXISTS (SELECT 1 FROM {INTO})"),
+    "region_inside": duck("SELECT * FROM fx_cnv c WHERE EXISTS (SELECT 1 FROM fx_region g WHERE g.tid = c.tid AND c.p1 >= g.beg AND c.p2 <= g.fin)"),
+    "outside_regions": duck(f"SELECT * FROM fx_cnv c WHERE NOT EXISTS (SELECT 1 FROM {INTO})"),
+    "truth_hits": duck(f"SELECT * FROM fx_cnv c WHERE sample_no = 2 AND EXISTS (SELECT 1 FROM {TRUTH})"),
+    "false_positives": duck(f"SELECT * FROM fx_cnv c WHERE sample_no = 2 AND p2 - p1 > 5 AND NOT EXISTS (SELECT 1 FROM {TRUTH})"),
+    "point_in_interval": duck("""SELECT read_id, count(*) AS n, arg_max(c.type, (CAST(p1 AS BIGINT) * 100000 + p2) * 10 + CASE c.type WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 ELSE 3 END) AS type
+      FROM fx_read r JOIN fx_cnv c ON r.tid = c.tid AND c.p1 < r.pos AND r.pos < c.p2 WHERE c.sample_no = 3 GROUP BY read_id"""),
+    "annotation_lookup": duck("""SELECT c.tid, c.p1, c.p2, c.type, coalesce(note, '#') AS note FROM fx_cnv c
+      LEFT JOIN (SELECT tid, p1, p2, max(type) AS note FROM fx_cnv WHERE sample_no = 4 GROUP BY tid, p1, p2) n ON c.tid = n.tid AND c.p1 = n.p1 AND c.p2 = n.p2 WHERE sample_no = 5"""),
+    "distinct_calls": duck("SELECT tid, p1, p2, type FROM (SELECT *, row_number() OVER (PARTITION BY tid, p1, p2 ORDER BY sample_no, type) AS k FROM fx_cnv) WHERE k = 1"),
+    "allele_counts": duck("SELECT site, grp, CAST(sum(gt) AS BIGINT) AS ac, 2 * count(*) AS an, CAST(sum(dp) AS BIGINT) AS dp FROM fx_geno GROUP BY site, grp"),
+    "hwe_chi2": duck("""WITH g AS (SELECT site, count(*) FILTER (gt = 0) AS n0, count(*) FILTER (gt = 1) AS n1, count(*) FILTER (gt = 2) AS n2, count(*) AS n FROM fx_geno GROUP BY site),
+      f AS (SELECT *, (2 * n0 + n1) / (2.0 * n) AS p FROM g), e AS (SELECT *, n * p * p AS e0, 2 * n * p * (1 - p) AS e1, n * (1 - p) * (1 - p) AS e2 FROM f)
+      SELECT site, n0, n1, n2, round(CAST(CASE WHEN e0 > 0 THEN (n0 - e0) * (n0 - e0) / e0 ELSE 0.0 END + CASE WHEN e1 > 0 THEN (n1 - e1) * (n1 - e1) / e1 ELSE 0.0 END
+        + CASE WHEN e2 > 0 THEN (n2 - e2) * (n2 - e2) / e2 ELSE 0.0 END AS DOUBLE), 6) AS chi2 FROM e"""),
+    "group_chi2": duck("""WITH g AS (SELECT site, CAST(sum(CASE WHEN grp = 'click' THEN gt ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN grp = 'click' THEN 2 - gt ELSE 0 END) AS BIGINT) AS b,
+      CAST(sum(CASE WHEN grp = 'view' THEN gt ELSE 0 END) AS BIGINT) AS c, CAST(sum(CASE WHEN grp = 'view' THEN 2 - gt ELSE 0 END) AS BIGINT) AS d FROM fx_geno WHERE grp IN ('click', 'view') GROUP BY site)
+      SELECT site, a, b, c, d, round(CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN CAST(a + b + c + d AS DOUBLE) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d)) ELSE 0.0 END, 6) AS chi2 FROM g"""),
+    "running_median": """WITH l AS (SELECT event_id, value, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM events)
+      SELECT event_id, CASE WHEN len(around) = 5 THEN list_sort(around)[3] ELSE value END AS median FROM l""",
 }

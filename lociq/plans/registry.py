@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from lociq.plans import cohort
+from lociq.plans import cohort, reads, sequences
 
-QUERIES = {**cohort.QUERIES}
-ORACLES = {**cohort.ORACLES}
+QUERIES = {**cohort.QUERIES, **reads.QUERIES, **sequences.QUERIES}
+ORACLES = {**cohort.ORACLES, **reads.ORACLES, **sequences.ORACLES}
