@@ -63,7 +63,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules_version: in
     own = texts.join(todo.hint("shuffle_hash"), "path").where(F.sha2("text", 256) == F.col("blob"))
     found = own.select("blob", *[s.alias(k) for k, s in detect(F.col("text")).items()])
     slim = lambda k: F.transform(k, lambda s: s.dropFields("before", "match")).alias(k)
-    return found.select("blob", F.lit(rules_version).alias("rules_version"), *[slim(k) for k in KINDS])
+    return found.select("blob", F.lit(rules_version).alias("rules_version"), *[slim(k) for k in KINDS]).dropDuplicates(["blob"])
 
 
 def findings_by_path(versions: DataFrame, findings: DataFrame) -> DataFrame:

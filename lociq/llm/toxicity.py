@@ -21,7 +21,8 @@ from lociq.llm.words import plain_words
 
 #: Bound on the labelled documents that the model is fitted on, for each class; the first ones by a hash of doc_id.
 MOST_PER_CLASS = 20_000
-PRIOR = 50.0
+#: Tokens that the prior counts as, at most and as a share of the training tokens.
+PRIOR, PRIOR_SHARE = 50_000.0, 0.1
 LEAST_Z = 3.0
 LEAST_DOCS = 4
 #: Most tokens with a weight; those with the largest |z|.
@@ -122,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> Model
     n_clean, n_tox = (float(x or 0) for x in sums)
     if not n_clean or not n_tox:
         return None
-    prior = PRIOR * (F.col("clean") + F.col("tox")) / (n_clean + n_tox) * 1000
-    a0 = PRIOR * 1000
+    a0 = min(PRIOR, PRIOR_SHARE * (n_clean + n_tox))
+    prior = a0 * (F.col("clean") + F.col("tox")) / (n_clean + n_tox)
     odds = lambda c, n: F.log((F.col(c) + prior) / (n + a0 - F.col(c) - prior))
     weighed = counts.select(
         "word", "clean", "tox",

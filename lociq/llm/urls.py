@@ -66,9 +66,10 @@ def mine_rules(
 ) -> DataFrame:
     """rule_id, antecedent, confidence, support of token combinations that imply bad = 1.
 
-    `labelled` has url and bad. Combinations need `support` as a share of the rows and `least` rows. A rule goes when a part of its antecedent has at least its confidence. FP-growth
-    deals transactions out by token groups, and keeps on the driver no more than the frequent tokens, whose number
-    is at most the mean number of tokens over `support`.
+    `labelled` has url and bad. Combinations need `support` as a share of the rows and `least` rows. A rule goes when it is
+    no surer than the share of bad rows, or when a part of its antecedent has at least its confidence. FP-growth deals
+    transactions out by token groups, and keeps on the driver no more than the frequent tokens, whose number is at
+    most the mean number of tokens over `support`.
     """
     items = labelled.select(
         F.when(F.col("bad") == 1, F.array_append(tokens_of(F.col("url")), F.lit(BAD)))
@@ -78,7 +79,7 @@ def mine_rules(
     share = min(1.0, max(support, least / max(1, labelled.count())))
     growth = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence)
     model = (growth.setNumPartitions(partitions) if partitions else growth).fit(items)
-    rules = model.associationRules.where(F.element_at("consequent", 1) == BAD).select(
+    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") > 1)).select(
         F.array_sort("antecedent").alias("antecedent"), "confidence", "support"
     )
     r, s = rules.alias("r"), rules.alias("s")
