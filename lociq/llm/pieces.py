@@ -23,7 +23,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 300_000
 #: Documents whose words are searched together.
-TOGETHER = 1000
+TOGETHER = 2000
 #: Stands for a byte past ASCII until it is known what characters the bytes make.
 HIGH = "\U0010fffe"
 
@@ -140,6 +140,7 @@ class Encoder:
             for j in range(p + 1, n + 1):
                 one = two = low
                 arc = None
+                alone = get(word[j - 1])
                 for i in range(j - 1, j - longest - 1 if j > longest else -1, -1):
                     hit = get(word[i:j], 0)
                     if hit:
@@ -151,7 +152,7 @@ class Encoder:
                             two = score
                     elif hit == 0:  # no piece ends with these characters
                         break
-                if word[j - 1] not in self.pieces:
+                if not alone:
                     score, ids = self.spelled(word[j - 1])
                     if first[j - 1] + score > one:
                         two = max(one, second[j - 1] + score)
