@@ -9,21 +9,26 @@ paths differ from the best only in the N - 1 words whose second path costs least
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-REMEMBERED = 300_000
-#: Documents whose words are searched together.
-TOGETHER = 2000
+#: Words known beyond which an encoder starts anew.
+REMEMBERED = 50_000
+#: Characters of the documents whose words are searched together (one document at least).
+TOGETHER = 8_000_000
 #: Stands for a byte past ASCII until it is known what characters the bytes make.
 HIGH = "\U0010fffe"
 
@@ -91,22 +96,25 @@ def best_paths(arcs: list[list[tuple]], n: int) -> list[tuple[float, list]]:
 
 
 class Encoder:
-    """Searches words once; `known` has ids, score and cost of the second path by word, up to a bound.
+    """Searches words once; `known` gives the number of a word's row in the columns ids, score and second-path cost.
 
-    A key of `known` lacks the mark that its word begins with; a word at a line's start begins with the line end.
-    `bare` has the words without either.
+    A key of `known` lacks the mark that its word begins with; a word that begins with a character of `lone` (a line
+    end) stands as it is. learn() drops all that is known once it exceeds a bound.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, tuple] = {}
-        self.bare: dict[str, tuple] = {}
+        self.forget()
         self.pieces = {p: (vocabulary.scores[p], (i,)) for p, i in vocabulary.ids.items()}
         self.ends = {p[i:]: None for p in self.pieces for i in range(len(p))} | self.pieces
         out = f"{MARK}{re.escape(vocabulary.lone)}"
         self.parts = re.compile(f"{MARK}+[^{out}]*|[^{MARK}][^{out}]*")
         self.shown = [x if i not in vocabulary.byte_of else chr(b) if (b := vocabulary.byte_of[i]) < 128 else HIGH for i, x in enumerate(vocabulary.texts)]
 
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.at, self.score, self.cost = array("i"), array("q", [0]), array("d"), array("d")
+
     def spelled(self, char: str) -> tuple[float, tuple[int, ...]]:
         """Score and byte pieces of a character that no piece holds alone."""
         return self.v.lowest, tuple(self.v.bytes_[b] for b in char.encode("utf-8", "surrogatepass"))
@@ -120,16 +128,16 @@ class Encoder:
             out.append(ends)
         return out
 
-    def search(self, words: list[str]) -> dict[str, tuple]:
-        """For each word the ids and score of its best path and what the second path costs more.
+    def search(self, words: list[str]) -> None:
+        """Adds each word's row: the ids and score of its best path and what the second path costs more.
 
         Forward scores of the first and second path to each place depend on the word up to there, so in sorted
         order only what a word doesn't share with the one before it is searched.
         """
         get, longest, low = self.ends.get, self.v.longest, float("-inf")
-        done, before = {}, ""
+        before = ""
         first, second, last = [0.0], [low], [None]
-        for word in sorted(words):
+        for word in sorted(map(self.full, words)):
             n, p = len(word), 0
             for x, y in zip(word, before, strict=False):
                 if x != y:
@@ -167,59 +175,65 @@ class Encoder:
                 j, ids = last[j]
                 path.append(ids)
             path.reverse()
-            done[word] = (tuple(chain.from_iterable(path)), first[n], first[n] - second[n])
-        return done
-
-    def keys(self, text: str) -> list[tuple[bool, str]] | list[str]:
-        """The words of a text: keys of `known` for a text of single spaces and line ends, else (bare or not, key)."""
+            self.known[word[1:] if word[0] == MARK else word] = len(self.score)
+            self.ids.extend(chain.from_iterable(path))
+            self.at.append(len(self.ids))
+            self.score.append(first[n])
+            self.cost.append(first[n] - second[n])
+
+    def keys(self, text: str) -> list[str]:
+        """The words of a text as keys of `known`."""
         if "\n" in self.v.lone and text[0] != " " and not self.odd(text):
             return text.replace("\n", " \n").split(" ")
         found = self.parts.findall(MARK + text.replace(" ", MARK))
-        return [(False, w[1:]) if w[0] == MARK else (True, w) for w in found]
+        return [w[1:] if w[0] == MARK else w for w in found]
 
     @staticmethod
     def odd(text: str) -> bool:
         return "  " in text or MARK in text or "\t" in text or "\r" in text
 
-    def full(self, key: str | tuple[bool, str]) -> str:
-        if isinstance(key, str):
-            return key if key[:1] == "\n" else MARK + key
-        return key[1] if key[0] else MARK + key[1]
-
-    def learn(self, texts: list[str | None]) -> list[list]:
-        """Searches the words of `texts` that aren't known yet; each text's words."""
-        all_keys = [self.keys(t) if t else [] for t in texts]
-        for store, mark, wanted in (
-            (self.known, MARK, {k if isinstance(k, str) else k[1] for keys in all_keys for k in keys if isinstance(k, str) or not k[0]}),
-            (self.bare, "", {k[1] for keys in all_keys for k in keys if not isinstance(k, str) and k[0]}),
-        ):
-            if len(store) > REMEMBERED:
-                store.clear()
-            new = [k for k in wanted if k not in store]
-            # Line ends are keys of `known` as they are; all others have lost a mark.
-            made = self.search([k if mark and k[:1] == "\n" else mark + k for k in new])
-            for k in new:
-                store[k] = made[k if mark and k[:1] == "\n" else mark + k]
-        return all_keys
-
-    def encode(self, text: str | None, n: int, keys: list | None = None) -> tuple[list[int], list[float], list[str]]:
+    def full(self, key: str) -> str:
+        return key if key and key[0] in self.v.lone else MARK + key
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Searches the words of `texts` that aren't known yet, in one sorted pass."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        new: set[str] = set()
+        for t in texts:
+            if t:
+                new.update(self.keys(t))
+        self.search(list(new - self.known.keys()))
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """The columns as arrays; they must be let go before more words are learnt."""
+        return np.frombuffer(self.ids, np.int32), np.frombuffer(self.at, np.int64), np.frombuffer(self.score), np.frombuffer(self.cost)
+
+    def encode(self, text: str | None, n: int) -> tuple[list[int], list[float], list[str]]:
+        """segment() of a text whose words may be new, its ids as a list."""
+        self.learn([text])
+        ids, scores, changes = self.segment(text, n, self.rows())
+        return ids.tolist(), scores, changes
+
+    def segment(self, text: str | None, n: int, rows: tuple) -> tuple[np.ndarray, list[float], list[str]]:
         """Ids of the best segmentation, scores of the n best, and how each other one differs from the best.
 
-        A difference reads "word:ids" for each word (by its number) that is parted in another way. `keys` is what
-        learn() gave for the text.
+        A difference reads "word:ids" for each word (by its number) that is parted in another way. `rows` is what
+        rows() gives once learn() has seen the text.
         """
         if not text:
-            return [], [0.0], []
-        keys = self.learn([text])[0] if keys is None else keys
-        if isinstance(keys[0], str):
-            got = list(map(self.known.__getitem__, keys))
-        else:
-            got = [(self.bare if bare else self.known)[k] for bare, k in keys]
-        ids = list(chain.from_iterable([g[0] for g in got]))
-        best = float(sum([g[1] for g in got]))
+            return np.zeros(0, np.int32), [0.0], []
+        all_ids, starts, word_scores, word_costs = rows
+        keys = self.keys(text)
+        got = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        begin = starts[got]
+        sizes = starts[got + 1] - begin
+        until = np.cumsum(sizes)
+        ids = all_ids[np.repeat(begin - until + sizes, sizes) + np.arange(until[-1])]
+        best = float(word_scores[got].sum())
         if n == 1:
             return ids, [best], []
-        costs = np.fromiter([g[2] for g in got], float, len(got))
+        costs = word_costs[got]
         near = np.argpartition(costs, n - 2)[: n - 1] if len(costs) > n - 1 else np.arange(len(costs))
         least = costs[near].max()
         free = np.sort(np.concatenate([np.flatnonzero(costs < least), np.flatnonzero(costs == least)])[: n - 1]).tolist()
@@ -235,7 +249,7 @@ class Encoder:
         ]
         return ids, scores, changes
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of a sequence of ids; bytes that aren't UTF-8 become U+FFFD."""
         text = "".join(map(self.shown.__getitem__, ids))
         if HIGH not in text:
@@ -259,6 +273,16 @@ class Encoder:
 SCHEMA = "doc_id long, n_chars long, n_pieces long, ids array<int>, scores array<double>, changes array<string>, whole boolean"
 
 
+def slices(batch: pa.RecordBatch):
+    """Runs of rows of `batch` with about TOGETHER characters each."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(sizes) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def encode_texts(docs: DataFrame, n: int = 3, model: str = MODEL) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids, scores, changes, whole for every row of `docs`.
 
@@ -272,16 +296,24 @@ def encode_texts(docs: DataFrame, n: int = 3, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         encoder = Encoder(Vocabulary(**shared.value))
-        for b in batches:
-            for at in range(0, b.num_rows, TOGETHER):
-                part = b.slice(at, TOGETHER)
-                texts, rows = part.column("text").to_pylist(), []
-                for text, keys in zip(texts, encoder.learn(texts), strict=True):
-                    ids, scores, changes = encoder.encode(text, n, keys)
-                    back = encoder.decode(ids) == (text or "").replace(MARK, " ")
-                    rows.append((len(text or ""), len(ids), np.array(ids, np.int32), scores, changes, back))
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names)
+        gc.disable()  # nothing here makes cycles, and collections would walk all known words
+        try:
+            for b in batches:
+                for part in slices(b):
+                    yield encoded(encoder, part)
+        finally:
+            gc.enable()
+
+    def encoded(encoder, part):
+        texts, rows = part.column("text").to_pylist(), []
+        encoder.learn(texts)
+        known = encoder.rows()
+        for text in texts:
+            ids, scores, changes = encoder.segment(text, n, known)
+            back = encoder.decode(ids.tolist()) == (text or "").replace(MARK, " ")
+            rows.append((len(text or ""), len(ids), ids, scores, changes, back))
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names)
 
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.string()), pa.bool_()]
     names = [c.split()[0] for c in SCHEMA.split(", ")]
