@@ -26,6 +26,9 @@ TEXT = {
     "fx_pair": """SELECT a.template_id, a.tid, a.pos AS f1, a.pos + a.l_qseq AS f2, b.pos AS r1, b.pos + b.l_qseq AS r2,
       b.pos + b.l_qseq - a.pos AS isize FROM (SELECT * FROM READ[fx_read] x WHERE flag % 32 < 16) a
       JOIN (SELECT * FROM READ[fx_read] y WHERE flag % 32 >= 16) b ON a.template_id = b.template_id AND a.tid = b.tid""",
+    "fx_sam": """SELECT read_id, tid, pos, mapq, flag, concat(CASE WHEN read_id % 3 = 0 THEN concat(5 + read_id % 9, 'S') ELSE '' END,
+      20 + read_id % 11, 'M', CASE read_id % 4 WHEN 0 THEN '2I10M' WHEN 1 THEN '3D10M' WHEN 2 THEN '40N10M' ELSE '' END,
+      CASE WHEN read_id % 5 = 0 THEN concat(6 + read_id % 7, 'S') ELSE '' END) AS cigar FROM READ[fx_read] x""",
     "fx_geno": """SELECT CAST(user_id % 97 AS INT) AS site, CAST(user_id AS BIGINT) AS sample, event_type AS grp,
       CAST(count(*) % 3 AS INT) AS gt, CAST(count(*) AS INT) AS dp FROM events GROUP BY user_id, event_type""",
 }
