@@ -128,7 +128,7 @@ class Encoder:
             out.append(ends)
         return out
 
-    def search(self, words: list[str]) -> None:
+    def search(self, keys: set[str]) -> None:
         """Adds each word's row: the ids and score of its best path and what the second path costs more.
 
         Forward scores of the first and second path to each place depend on the word up to there, so in sorted
@@ -137,7 +137,8 @@ class Encoder:
         get, longest, low = self.ends.get, self.v.longest, float("-inf")
         before = ""
         first, second, last = [0.0], [low], [None]
-        for word in sorted(map(self.full, words)):
+        for key in sorted(keys):
+            word = self.full(key)
             n, p = len(word), 0
             for x, y in zip(word, before, strict=False):
                 if x != y:
@@ -175,7 +176,7 @@ class Encoder:
                 j, ids = last[j]
                 path.append(ids)
             path.reverse()
-            self.known[word[1:] if word[0] == MARK else word] = len(self.score)
+            self.known[key] = len(self.score)
             self.ids.extend(chain.from_iterable(path))
             self.at.append(len(self.ids))
             self.score.append(first[n])
@@ -203,7 +204,8 @@ class Encoder:
         for t in texts:
             if t:
                 new.update(self.keys(t))
-        self.search(list(new - self.known.keys()))
+        new.difference_update(self.known)
+        self.search(new)
 
     def rows(self) -> tuple[np.ndarray, ...]:
         """The columns as arrays; they must be let go before more words are learnt."""
