@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from lociq.plans import cohort, formats, reads, sequences
+from lociq.plans import cohort, formats, reads, sequences, variants
 
-QUERIES = {**cohort.QUERIES, **formats.QUERIES, **reads.QUERIES, **sequences.QUERIES}
-ORACLES = {**cohort.ORACLES, **formats.ORACLES, **reads.ORACLES, **sequences.ORACLES}
+QUERIES = {**cohort.QUERIES, **formats.QUERIES, **reads.QUERIES, **sequences.QUERIES, **variants.QUERIES}
+ORACLES = {**cohort.ORACLES, **formats.ORACLES, **reads.ORACLES, **sequences.ORACLES, **variants.ORACLES}
