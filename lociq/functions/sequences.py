@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -32,6 +34,10 @@ def n_runs(seq: Column) -> Column:
     )["out"]
 
 
+#: Places at an overlap's start that are compared for all lengths together.
+SCREEN = 24
+
+
 def best_overlap(a: str, b: str, least: int, errors: int) -> tuple[int, int]:
     """Length and mismatches of the overlap of a's end with b's start that has the lowest error rate (0, -1: none).
 
@@ -40,7 +46,14 @@ def best_overlap(a: str, b: str, least: int, errors: int) -> tuple[int, int]:
     """
     x, y = np.frombuffer(a.encode("latin-1", "replace"), np.uint8), np.frombuffer(b.encode("latin-1", "replace"), np.uint8)
     best, rate = (0, -1), None
-    for n in range(least + 1, min(len(x), len(y)) + 1):
+    lengths = np.arange(least + 1, min(len(x), len(y)) + 1)
+    errs = np.zeros(len(lengths), np.int64)
+    for k in range(SCREEN):  # all starts at once; few come through the first places
+        if not len(lengths):
+            break
+        errs += (lengths > k) & (x[np.minimum(len(x) - lengths + k, len(x) - 1)] != y[min(k, len(y) - 1)])
+        lengths, errs = lengths[errs <= errors], errs[errs <= errors]
+    for n in lengths.tolist():
         wrong = int((x[len(x) - n :] != y[:n]).sum())
         if wrong <= errors and (rate is None or wrong / n < rate):
             best, rate = (n, wrong), wrong / n
@@ -49,6 +62,15 @@ def best_overlap(a: str, b: str, least: int, errors: int) -> tuple[int, int]:
     return best
 
 
+RUNS = T.ArrayType(T.StructType([T.StructField("beg", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+@pandas_udf(RUNS)
+def n_runs_of(s: pd.Series) -> pd.Series:
+    """As n_runs, in time linear in the length."""
+    return s.map(lambda t: None if t is None else [{"beg": m.start(), "end": m.end()} for m in re.finditer("N+", t)])
+
+
 OVERLAP = T.StructType([T.StructField("length", T.IntegerType()), T.StructField("mismatches", T.IntegerType())])
 
 

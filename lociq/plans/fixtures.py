@@ -21,6 +21,8 @@ TEXT = {
       CASE l_returnflag WHEN 'A' THEN 'DUP' WHEN 'R' THEN 'DEL' ELSE 'VAR' END AS type FROM lineitem""",
     "fx_seq": """SELECT doc_id, translate(lower(substr(text, 1, 200)), 'abcdefghijklmnopqrstuvwxyz',
       'ACGTNACGTACGTACGTACGTACGTA') AS seq FROM documents""",
+    "fx_whole": """SELECT doc_id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz',
+      'ACGTNACGTACGTACGTACGTACGTA') AS seq FROM documents""",
     "fx_region": """SELECT CAST(n_nationkey AS INT) AS region_no, CAST(n_nationkey % 24 AS INT) AS tid,
       CAST(n_nationkey * 90 AS INT) AS beg, CAST(n_nationkey * 90 + 120 AS INT) AS fin FROM nation""",
     "fx_pair": """SELECT a.template_id, a.tid, a.pos AS f1, a.pos + a.l_qseq AS f2, b.pos AS r1, b.pos + b.l_qseq AS r2,
