@@ -5,9 +5,9 @@
 2. The others are ordered by rarity; two documents with enough overlap share one of their first shingles. Sharing one,
    with sizes near enough, puts documents into the same cluster, by links to the least of each group.
 3. In a cluster, trees over the documents hold OR-combined bitmaps and size ranges in their nodes. Two trees are walked
-   together; pairs of nodes that can't reach the overlap, or are linked already, are left out; pairs of leaves are
-   compared exactly. A large cluster is first linked to its most typical member; what that leaves is compared with all
-   members, in chunks of bounded size.
+   together; pairs of nodes that can't reach the overlap are left out; what is below the others is compared exactly,
+   every pair. A large cluster is taken in chunks of bounded size, each with each.
+4. Equal sets are compared once; a document's links are counted with the copies of each set that is linked with its own.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ SHINGLE = 3
 PERCENT = 90
 CHUNK = 512
 BITS = 1024
-DOCS = "doc_id long, n long, sid long, weight double, prefix array<long>, tokens binary"
+#: Sets of a side that are compared exactly at once, and how many hashes of them.
+TOGETHER = 64
+SLICE = 8192
+DOCS = "doc_id long, n long, sid long, prefix array<long>, tokens binary"
 
 
 def shingle_set(text: bytes, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -68,11 +71,11 @@ def describe(size: int, percent: int):
             most = n - -(-percent * n // 100)  # shingles that a partner may lack
             lone = int((df == 1).sum())
             if not n or lone > most:
-                out.append((doc_id, n, sid, None, None, None))
+                out.append((doc_id, n, sid, None, None))
                 continue
             order = np.lexsort((s, df))[lone : most + 1]
-            out.append((doc_id, n, sid, float(df.mean()), s[order].view(np.int64), s.tobytes()))
-        return pd.DataFrame(out, columns=["doc_id", "n", "sid", "weight", "prefix", "tokens"])
+            out.append((doc_id, n, sid, s[order].view(np.int64), s.tobytes()))
+        return pd.DataFrame(out, columns=["doc_id", "n", "sid", "prefix", "tokens"])
 
     return keys_of, rows
 
@@ -155,55 +158,101 @@ def token_sets(column) -> list[np.ndarray]:
     return [np.frombuffer(t, np.uint64) for t in column]
 
 
-def walk_chunk(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[~pdf["query"]], pdf[pdf["query"]]
-        l_ids, r_ids = left["sid"].tolist(), right["sid"].tolist()
-        place = {s: i for i, s in enumerate(l_ids)}
-        same = [(place[s], j) for j, s in enumerate(r_ids) if s in place]
-        links = tree_links(token_sets(left["tokens"]), token_sets(right["tokens"]), same, percent)
-        return pd.DataFrame({"a": [l_ids[i] for i, _ in links], "b": [r_ids[j] for _, j in links]}, dtype="int64")
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of `left` shares with each of `right`."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    if not len(common):
+        return out.astype(np.int64)
+    at = [np.minimum(np.searchsorted(common, t), len(common) - 1) for t, _ in sides]
+    hits = [common[i] == t for i, (t, _) in zip(at, sides, strict=True)]
+    at, rows = [i[h] for i, h in zip(at, hits, strict=True)], [r[h] for (_, r), h in zip(sides, hits, strict=True)]
+    for lo in range(0, len(common), SLICE):
+        held = []
+        for i, r, n in zip(at, rows, out.shape, strict=True):
+            own = (i >= lo) & (i < lo + SLICE)
+            m = np.zeros((n, min(SLICE, len(common) - lo)), np.float32)
+            m[r[own], i[own] - lo] = 1
+            held.append(m)
+        out += held[0] @ held[1].T
+    return out.astype(np.int64)
+
+
+def all_links(left: list[np.ndarray], right: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Whether left[i] and right[j] are linked, for all pairs; blocks of them that can't be are left out by trees."""
+    found = np.zeros((len(left), len(right)), bool)
+    if not left or not right:
+        return found
+    orders = [np.array(sorted(range(len(s)), key=lambda i: len(s[i]))) for s in (left, right)]
+    sides = [[s[i] for i in o] for s, o in zip((left, right), orders, strict=True)]
+    sizes = [np.array([len(x) for x in s]) for s in sides]
+    stack = [tuple(tree(s, [bitmap(x) for x in s]) for s in sides)]
+    while stack:
+        a, b = stack.pop()
+        if overlap_bound(a, b) * (100 + percent) < percent * (a.least + b.least):
+            continue
+        if max(a.hi - a.lo, b.hi - b.lo) > TOGETHER:
+            stack.extend(((k, b) for k in a.kids) if a.hi - a.lo >= b.hi - b.lo else ((a, k) for k in b.kids))
+            continue
+        both = shared_counts(sides[0][a.lo : a.hi], sides[1][b.lo : b.hi])
+        every = sizes[0][a.lo : a.hi, None] + sizes[1][None, b.lo : b.hi] - both
+        found[np.ix_(orders[0][a.lo : a.hi], orders[1][b.lo : b.hi])] = 100 * both >= percent * every
+    return found
+
+
+def leaders_of(links: np.ndarray) -> np.ndarray:
+    """The first place that links reach from each place of a symmetric matrix."""
+    out = np.full(len(links), -1)
+    for i in range(len(links)):
+        new = np.array([i]) if out[i] < 0 else np.empty(0, np.int64)
+        while len(new):
+            out[new] = i
+            new = np.flatnonzero(links[new].any(axis=0) & (out < 0))
+    return out
 
-    return run
 
+def token_sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.uint64) for t in column]
 
-def check_hub(percent: int):
-    def run(batches):
-        for b in batches:
-            ok = [linked(x, y, percent) for x, y in zip(token_sets(b["tokens"]), token_sets(b["hub_tokens"]), strict=True)]
-            yield b[ok][["sid", "hub"]].rename(columns={"sid": "a", "hub": "b"})
+
+def count_chunk(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[~pdf["right"]], pdf[pdf["right"]]
+        # A part meets itself, or two parts that share no set meet.
+        itself = pdf["m"].iloc[0] == pdf["q"].iloc[0]
+        links = all_links(token_sets(left["tokens"]), token_sets((left if itself else right)["tokens"]), percent)
+        if itself:
+            np.fill_diagonal(links, False)
+        else:
+            none = [np.zeros((n, n), bool) for n in links.shape]
+            links = np.block([[none[0], links], [links.T, none[1]]])
+        sids = pd.concat([left, right])["sid"].to_numpy()
+        copies = pd.concat([left, right])["copies"].to_numpy()
+        some = links.any(axis=1)
+        return pd.DataFrame({"a": sids, "b": sids[leaders_of(links)], "n": (links * copies).sum(axis=1)}, dtype="int64")[some]
 
     return run
 
 
 def links_between(members: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Links (a, b) that join all linked sets of each cluster; `members` has cluster, sid, n, weight, tokens."""
-    size = members.groupBy("cluster").agg(F.count("*").alias("size"), F.max_by("sid", F.struct("weight", "sid")).alias("hub"))
-    sized = members.join(size, "cluster")
-    large = sized.where(F.col("size") > chunk)
-    hubs = members.select(F.col("sid").alias("hub"), F.col("tokens").alias("hub_tokens"))
-    to_hub = keep(
-        large.where("sid <> hub").join(hubs, "hub").select("sid", "tokens", "hub", "hub_tokens").mapInPandas(check_hub(percent), "a long, b long")
-    )
-    settled = to_hub.select(F.col("a").alias("sid")).unionByName(size.where(F.col("size") > chunk).select(F.col("hub").alias("sid")))
-    state = sized.join(settled.withColumn("settled", F.lit(True)), "sid", "left").withColumn("query", F.col("settled").isNull())
-    asking = state.where("query").groupBy("cluster").agg(F.count("*").alias("asking"))
-    ready = state.join(asking, "cluster").withColumns(
-        {
-            "m_parts": F.ceil(F.col("size") / chunk).cast("int"),
-            "q_parts": F.ceil(F.col("asking") / chunk).cast("int"),
-        }
+    """a, b, n: `members` (cluster, sid, copies, tokens) that are linked, one that links reach, and the copies of the linked.
+
+    Every pair of a cluster meets in one cell of a grid of parts. A cell counts its links and gives a row for each
+    member, not for each link; a member's counts are to be added up. Rows (a, b) join all that is linked.
+    """
+    large = members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > chunk)
+    parts = large.select("cluster", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
+    dealt = members.join(F.broadcast(parts), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = met.select(
+        "cluster", F.least("own", "other").alias("m"), F.greatest("own", "other").alias("q"), (F.col("other") < F.col("own")).alias("right"), "sid", "copies", "tokens"
     )
-    own = lambda parts: F.pmod(F.xxhash64("sid"), F.col(parts)).cast("int")
-    upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    left = ready.select("cluster", "sid", "tokens", F.lit(False).alias("query"), own("m_parts").alias("m"), upto("q_parts").alias("q"))
-    right = ready.where("query").select("cluster", "sid", "tokens", F.lit(True).alias("query"), own("q_parts").alias("q"), upto("m_parts").alias("m"))
-    found = left.unionByName(right).groupBy("cluster", "m", "q").applyInPandas(walk_chunk(percent), "a long, b long")
-    return found.unionByName(to_hub)
+    return cells.groupBy("cluster", "m", "q").applyInPandas(count_chunk(percent), "a long, b long, n long")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of `docs`: the smallest doc_id that links reach.
+    """doc_id, n_shingles, component_id and n_links of every row of `docs`: the smallest doc_id that links reach, and the other rows linked with it.
 
     Null and empty texts have no shingles and are linked with nothing, so they are their own component; equal
     texts are linked; repeated rows of one doc_id each get a row; null ids stay null and form components as the
@@ -213,7 +262,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     blocks = blocks_of(docs)
     told = keep(answered(blocks, tallied(blocks, keys_of), rows, DOCS))
     sets = told.where("prefix is not null").groupBy("sid").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("doc_id"), F.max("weight").alias("weight")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")
     )
     # Groups by a first shingle and a size band; a set is also in the next band, so sizes near enough meet in one.
     band = F.floor(F.log("n") / -np.log(percent / 100)).cast("int")
@@ -228,18 +277,23 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     clusters = keep(components(edges).select(F.col("node").alias("sid"), F.col("component").alias("cluster")))
     chosen = sets.join(clusters, "sid")
     members = keep(
-        chosen.select("sid", "doc_id", "cluster", "weight").join(told.select("doc_id", "sid", "tokens").where("tokens is not null"), ["doc_id", "sid"])
-        .groupBy("sid", "cluster").agg(F.first("weight").alias("weight"), F.first("tokens").alias("tokens"))
+        chosen.select("sid", "doc_id", "cluster", "copies").join(told.select("doc_id", "sid", "tokens").where("tokens is not null"), ["doc_id", "sid"])
+        .groupBy("sid", "cluster").agg(F.first("copies").alias("copies"), F.first("tokens").alias("tokens"))
     )
-    near = components(links_between(members, percent, chunk)).withColumnsRenamed({"node": "sid", "component": "group"})
-    sid_group = F.coalesce("group", "sid")
-    with_words = told.where("n > 0").select("doc_id", "n", "sid").join(near, "sid", "left").select("doc_id", "n", sid_group.alias("group"))
+    found = keep(links_between(members, percent, chunk))
+    near = components(found.select("a", "b")).withColumnsRenamed({"node": "sid", "component": "group"})
+    others = found.groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("others"))
+    # A text whose shingles stand nowhere else has no copy either.
+    own = sets.select("sid", "copies").join(others, "sid", "left").join(near, "sid", "left")
+    with_words = told.where("n > 0").select("doc_id", "n", "sid").join(own, "sid", "left").select(
+        "doc_id", "n", F.coalesce("group", "sid").alias("group"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    )
     least = with_words.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    linked_rows = with_words.join(least, "group").select("doc_id", "n", "component_id")
-    alone = told.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    linked_rows = with_words.join(least, "group").select("doc_id", "n", "component_id", "n_links")
+    alone = told.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     out = linked_rows.unionByName(alone)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"))
+    return out.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"), "n_links")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
