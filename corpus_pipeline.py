@@ -21,9 +21,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that Jaccard links join; also one row of each id."""
-    kept = jaccard.jaccard_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """One row of each group that Jaccard links join: of the smallest id, null being the last, then by its contents.
+
+    Rows are told apart by a key of their own, so null and repeated ids neither lose nor keep others. Rows without
+    words are linked with nothing; of those, equal ones of one id count as one, and those without an id all stay.
+    """
+    rows = keep(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    groups = jaccard.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("row"), (F.col("n_shingles") == 0).alias("bare"), "component_id")
+    no_id = F.col("doc_id").isNull()
+    facts = rows.select("row", "doc_id", F.sha2("text", 256).alias("digest"), F.xxhash64(*COLUMNS).alias("contents"))
+    same = F.when(~F.col("bare"), F.struct(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("digest"), F.col("component_id").alias("row")))
+    same = same.otherwise(F.struct(F.col("doc_id").cast("long").alias("id"), F.when(~no_id, F.col("digest")).alias("digest"), F.when(no_id, F.col("row")).alias("row")))
+    first = F.min_by("row", F.struct(no_id, "doc_id", "contents", "row")).alias("row")
+    kept = facts.join(groups, "row").groupBy(same.alias("same")).agg(first).select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
