@@ -59,16 +59,18 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules_version: in
     path are told apart by their digests, and equal rows yield one finding.
     """
     todo = unseen(versions, ledger, rules_version)
-    texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text"))
-    own = texts.join(todo.hint("shuffle_hash"), "path").where(F.sha2("text", 256) == F.col("blob"))
+    texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text"), blob_id(F.col("text")).alias("digest"))
+    # Null paths meet by their digests; without these they would all meet one another.
+    chosen = todo.withColumnRenamed("path", "at").hint("shuffle_hash")
+    own = texts.join(chosen, F.col("path").eqNullSafe(F.col("at")) & (F.col("digest") == F.col("blob")))
     found = own.select("blob", *[s.alias(k) for k, s in detect(F.col("text")).items()])
     slim = lambda k: F.transform(k, lambda s: s.dropFields("before", "match")).alias(k)
     return found.select("blob", F.lit(rules_version).alias("rules_version"), *[slim(k) for k in KINDS]).dropDuplicates(["blob"])
 
 
 def findings_by_path(versions: DataFrame, findings: DataFrame) -> DataFrame:
-    """Every version's path with its blob's findings."""
-    return versions.select("path", blob_id(F.col("text")).alias("blob")).join(findings, "blob")
+    """Every version's path, null or not, with its blob's findings; nulls where `findings` lacks the blob."""
+    return versions.select("path", blob_id(F.col("text")).alias("blob")).join(findings, "blob", "left")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
