@@ -26,18 +26,12 @@ def n_islands(spark, sf_dir):
     return runs.select("doc_id", F.col("r.beg").alias("beg"), F.col("r.end").alias("fin"))
 
 
-def read_overlap_match(spark, sf_dir):
-    a = seqs(spark, sf_dir)
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("other"))
-    return a.join(b, "doc_id").select("doc_id", sq.overlap_of("seq", "other").alias("o")).select("doc_id", "o.length", "o.mismatches")
-
-
 def n_islands_whole(spark, sf_dir):
     runs = wholes(spark, sf_dir).select("doc_id", F.explode(sq.n_runs_of("seq")).alias("r"))
     return runs.select("doc_id", F.col("r.beg").alias("beg"), F.col("r.end").alias("fin"))
 
 
-def read_overlap_match_whole(spark, sf_dir):
+def read_overlap_match(spark, sf_dir):
     a = wholes(spark, sf_dir)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("seq").alias("other"))
     return a.join(b, "doc_id").select("doc_id", sq.overlap_of("seq", "other").alias("o")).select("doc_id", "o.length", "o.mismatches")
@@ -62,15 +56,13 @@ QUERIES = {
     "sequence_md5": lambda s, d: seqs(s, d).select("doc_id", F.md5(F.upper(clean())).alias("md5")),
     "n_islands": n_islands,
     "read_overlap_match": read_overlap_match,
-    "tandem_length": lambda s, d: seqs(s, d).select("doc_id", sq.tandem_of("seq").alias("length")),
-    # The same over whole texts; those above read the first 200 characters, as their SQL does.
+    "tandem_length": lambda s, d: wholes(s, d).select("doc_id", sq.tandem_of("seq").alias("length")),
+    # The same over whole texts; those above that have SQL read the first 200 characters, as their SQL does.
     "reverse_complement_whole": lambda s, d: wholes(s, d).select("doc_id", sq.reverse_complement(F.col("seq")).alias("rc")),
     "gc_content_whole": lambda s, d: wholes(s, d).select("doc_id", sq.gc(F.col("seq")).alias("gc"), F.length("seq").alias("n")),
     "edit_distance_whole": edit_distance_whole,
     "sequence_md5_whole": lambda s, d: wholes(s, d).select("doc_id", F.md5(F.upper(clean())).alias("md5")),
     "n_islands_whole": n_islands_whole,
-    "read_overlap_match_whole": read_overlap_match_whole,
-    "tandem_length_whole": lambda s, d: wholes(s, d).select("doc_id", sq.tandem_of("seq").alias("length")),
 }
 
 ORACLES = {
