@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociq.operators import intervals as iv
@@ -133,6 +134,15 @@ def systematic_sample(spark, sf_dir):
     return ranked.where("rank % 3 = 0").select("tid", "pos", "read_id")
 
 
+def systematic_sample_whole(spark, sf_dir):
+    """Every third read of a chromosome by position and id: counts of earlier places and the rank at its own."""
+    own = reads(spark, sf_dir).select("tid", "pos", "read_id")
+    places = rd.running(own.groupBy("tid", "pos").agg(F.count("*").alias("here")), "here", "upto").select("tid", "pos", (F.col("upto") - F.col("here")).alias("base"))
+    at = Window.partitionBy("tid", "pos").orderBy("read_id")
+    ranked = own.withColumn("no", F.row_number().over(at)).join(places, ["tid", "pos"])
+    return ranked.where("(base + no) % 3 = 0").select("tid", "pos", "read_id")
+
+
 def pick(f, *cols):
     return lambda s, d: f(s, d).select(*cols)
 
@@ -160,6 +170,7 @@ QUERIES = {
     "strong_weak_router": strong_weak_router,
     "call_format": call_format,
     "systematic_sample": systematic_sample,
+    "systematic_sample_whole": systematic_sample_whole,
 }
 
 GOOD = "(flag // 4) % 2 = 0 AND (flag // 256) % 2 = 0 AND (flag // 512) % 2 = 0 AND (flag // 1024) % 2 = 0"
@@ -221,6 +232,7 @@ ORACLES = {
     "strong_weak_router": duck(SPANS + """SELECT CASE WHEN rdscore + rpscore >= 2 THEN CASE WHEN least(lft, rgt) < 10 THEN 'weak' ELSE 'strong' END WHEN rdscore + rpscore = 0 THEN 'none' ELSE 'weak' END AS strength,
       type, count(*) AS n FROM scored GROUP BY 1, 2"""),
     "call_format": duck("""SELECT DISTINCT concat_ws(chr(9), 'chr' || (tid + 1), p1 + 1, p2 + 1, type, CASE WHEN type = 'DUP' THEN p1 - p2 ELSE p2 - p1 END) AS line FROM fx_cnv"""),
+    "systematic_sample_whole": duck("""SELECT tid, pos, read_id FROM (SELECT tid, pos, read_id, row_number() OVER (PARTITION BY tid ORDER BY pos, read_id) AS k FROM fx_read) WHERE k % 3 = 0"""),
     "systematic_sample": duck("""WITH g AS (SELECT tid, pos, count(*) AS here, min(read_id) AS read_id FROM fx_read GROUP BY tid, pos),
       r AS (SELECT tid, pos, read_id, sum(here) OVER (PARTITION BY tid ORDER BY pos) AS k FROM g) SELECT tid, pos, read_id FROM r WHERE k % 3 = 0"""),
 }
