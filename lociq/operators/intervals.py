@@ -69,15 +69,15 @@ def islands(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
     return df.withColumn("island", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def greedy_union(calls: DataFrame, share: float = 0.8) -> DataFrame:
-    """Merges each interval into the last merged one while they overlap by more than `share` of both.
+def greedy_union(calls: DataFrame, share: float = 0.8, keys: tuple[str, ...] = ("tid",)) -> DataFrame:
+    """Merges each interval into the last merged one of its `keys` while they overlap by more than `share` of both.
 
     The fold is sequential, but an interval can't merge across a place that none covers: runs of overlapping
     intervals are folded apart.
     """
-    w = Window.partitionBy("tid").orderBy("p1", "p2").rowsBetween(Window.unboundedPreceding, -1)
-    runs = calls.select("tid", "p1", "p2").distinct().withColumn("reach", F.max("p2").over(w))
-    w2 = Window.partitionBy("tid").orderBy("p1", "p2").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys).orderBy("p1", "p2").rowsBetween(Window.unboundedPreceding, -1)
+    runs = calls.select(*keys, "p1", "p2").distinct().withColumn("reach", F.max("p2").over(w))
+    w2 = Window.partitionBy(*keys).orderBy("p1", "p2").rowsBetween(Window.unboundedPreceding, 0)
     runs = runs.withColumn("run", F.sum(F.when(F.col("p1") > F.coalesce("reach", F.col("p1")), 1).otherwise(0)).over(w2))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,6 +91,6 @@ def greedy_union(calls: DataFrame, share: float = 0.8) -> DataFrame:
                     continue
             out.append([p1, p2, 1])
         merged = pd.DataFrame(out, columns=["p1", "p2", "merged"])
-        return merged.assign(tid=pdf["tid"].iloc[0])[["tid", "p1", "p2", "merged"]]
+        return merged.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "p1", "p2", "merged"]]
 
-    return runs.groupBy("tid", "run").applyInPandas(fold, "tid int, p1 int, p2 int, merged long")
+    return runs.groupBy(*keys, "run").applyInPandas(fold, ", ".join([*(f"{k} int" for k in keys), "p1 int, p2 int, merged long"]))

@@ -91,6 +91,33 @@ def annotation_lookup(spark, sf_dir):
     return own.join(notes, ["tid", "p1", "p2"], "left").withColumn("note", F.coalesce("note", F.lit("#")))
 
 
+def whole_truth(spark, sf_dir):
+    return cnv(spark, sf_dir).where("sample_no = 1").select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2")).distinct()
+
+
+def truth_hits_whole(spark, sf_dir):
+    """Calls of all samples that overlap one of the first's."""
+    return iv.overlap_join(cnv(spark, sf_dir), whole_truth(spark, sf_dir), how="left_semi")
+
+
+def false_positives_whole(spark, sf_dir):
+    return iv.overlap_join(cnv(spark, sf_dir).where("p2 - p1 > 5"), whole_truth(spark, sf_dir), how="left_anti")
+
+
+def point_in_interval_whole(spark, sf_dir):
+    points = view(spark, sf_dir, "fx_read").select("read_id", "tid", "pos")
+    met = iv.point_in(points, cnv(spark, sf_dir))
+    return met.groupBy("read_id", "sample_no").agg(F.count("*").alias("n"), F.max_by("type", F.struct("p1", "p2", "type")).alias("type"))
+
+
+def annotation_lookup_whole(spark, sf_dir):
+    """Each call with the note of every other sample at its place."""
+    notes = cnv(spark, sf_dir).groupBy(F.col("sample_no").alias("other"), "tid", "p1", "p2").agg(F.max("type").alias("note"))
+    others = cnv(spark, sf_dir).select(F.col("sample_no").alias("other")).distinct()
+    own = cnv(spark, sf_dir).join(F.broadcast(others), F.col("sample_no") != F.col("other"))
+    return own.join(notes, ["other", "tid", "p1", "p2"], "left").withColumn("note", F.coalesce("note", F.lit("#")))
+
+
 def distinct_calls(spark, sf_dir):
     """One row of calls with equal coordinates, its type the first sample's."""
     first = F.min_by("type", F.struct("sample_no", "type")).alias("type")
@@ -98,7 +125,8 @@ def distinct_calls(spark, sf_dir):
 
 
 def greedy_interval_union(spark, sf_dir):
-    return iv.greedy_union(cnv(spark, sf_dir).where("sample_no = 6"))
+    """The union of each sample's calls."""
+    return iv.greedy_union(cnv(spark, sf_dir), keys=("sample_no", "tid"))
 
 
 def allele_counts(spark, sf_dir):
@@ -138,6 +166,7 @@ def running_median(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     cohort_overlap_matrix, cohort_matrix_pivot, cohort_marginals, reciprocal_overlap_pairs, region_overlap, region_inside, outside_regions, truth_hits,
     false_positives, point_in_interval, annotation_lookup, distinct_calls, greedy_interval_union, allele_counts, hwe_chi2, group_chi2, running_median,
+    truth_hits_whole, false_positives_whole, point_in_interval_whole, annotation_lookup_whole,
 )}
 
 CELLS = """WITH u AS (SELECT DISTINCT tid, p1, p2 FROM fx_cnv WHERE p2 - p1 BETWEEN 3 AND 10000000),
@@ -145,6 +174,7 @@ CELLS = """WITH u AS (SELECT DISTINCT tid, p1, p2 FROM fx_cnv WHERE p2 - p1 BETW
     WHERE c.p2 - c.p1 BETWEEN 3 AND 10000000 AND least(c.p2, u.p2) - greatest(c.p1, u.p1) + 1 > 0.5 * greatest(c.p2 - c.p1, u.p2 - u.p1)),
   cells AS (SELECT tid, p1, p2, sample_no, arg_max(o, CAST(q1 AS BIGINT) * 100000 + q2) AS cell FROM met GROUP BY tid, p1, p2, sample_no) """
 TRUTH = "(SELECT DISTINCT tid, p1, p2 FROM fx_cnv WHERE sample_no = 1 AND (p1 + tid) % 5 = 0) t WHERE t.tid = c.tid AND c.p1 <= t.p2 AND t.p1 <= c.p2"
+WHOLE_TRUTH = "fx_cnv t WHERE t.sample_no = 1 AND t.tid = c.tid AND c.p1 <= t.p2 AND t.p1 <= c.p2"
 INTO = "fx_region g WHERE g.tid = c.tid AND c.p1 <= g.fin AND g.beg <= c.p2"
 EACH = ", ".join(f"coalesce(max(cell) FILTER (sample_no = {i}), 0) AS s{i}" for i in SAMPLES)
 ORACLES = {
@@ -158,6 +188,12 @@ ORACLES = {
     "outside_regions": duck(f"SELECT * FROM fx_cnv c WHERE NOT EXISTS (SELECT 1 FROM {INTO})"),
     "truth_hits": duck(f"SELECT * FROM fx_cnv c WHERE sample_no = 2 AND EXISTS (SELECT 1 FROM {TRUTH})"),
     "false_positives": duck(f"SELECT * FROM fx_cnv c WHERE sample_no = 2 AND p2 - p1 > 5 AND NOT EXISTS (SELECT 1 FROM {TRUTH})"),
+    "truth_hits_whole": duck(f"SELECT * FROM fx_cnv c WHERE EXISTS (SELECT 1 FROM {WHOLE_TRUTH})"),
+    "false_positives_whole": duck(f"SELECT * FROM fx_cnv c WHERE p2 - p1 > 5 AND NOT EXISTS (SELECT 1 FROM {WHOLE_TRUTH})"),
+    "point_in_interval_whole": duck("""SELECT read_id, sample_no, count(*) AS n, arg_max(c.type, (CAST(p1 AS BIGINT) * 100000 + p2) * 10 + CASE c.type WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 ELSE 3 END) AS type
+      FROM fx_read r JOIN fx_cnv c ON r.tid = c.tid AND c.p1 < r.pos AND r.pos < c.p2 GROUP BY read_id, sample_no"""),
+    "annotation_lookup_whole": duck("""SELECT c.*, o.other, coalesce(note, '#') AS note FROM fx_cnv c JOIN (SELECT DISTINCT sample_no AS other FROM fx_cnv) o ON o.other <> c.sample_no
+      LEFT JOIN (SELECT sample_no, tid, p1, p2, max(type) AS note FROM fx_cnv GROUP BY ALL) n ON n.sample_no = o.other AND c.tid = n.tid AND c.p1 = n.p1 AND c.p2 = n.p2"""),
     "point_in_interval": duck("""SELECT read_id, count(*) AS n, arg_max(c.type, (CAST(p1 AS BIGINT) * 100000 + p2) * 10 + CASE c.type WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 ELSE 3 END) AS type
       FROM fx_read r JOIN fx_cnv c ON r.tid = c.tid AND c.p1 < r.pos AND r.pos < c.p2 WHERE c.sample_no = 3 GROUP BY read_id"""),
     "annotation_lookup": duck("""SELECT c.tid, c.p1, c.p2, c.type, coalesce(note, '#') AS note FROM fx_cnv c
