@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _UP = bytes(range(65, 91))
@@ -15,6 +18,13 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 MASK = (1 << 64) - 1
 
 
+def let_go() -> None:
+    """Gives freed memory back to the system; a worker that waits for its next task would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
@@ -33,7 +43,7 @@ def plain_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
