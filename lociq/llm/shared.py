@@ -2,26 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Writes `df` under spark.checkpoint.dir and reads it again, so that what follows doesn't recompute it.
+    """Writes `df` under spark.checkpoint.dir and reads it again, so that what follows doesn't recompute it."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own under spark.checkpoint.dir.
 
-    Only where that setting is missing (as in tests on one machine) a temporary folder takes its place.
+    Where that setting is missing, a master on one machine gets a temporary folder; on a cluster that is an error,
+    since each executor would write to a disk of its own.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def forget(kept: DataFrame) -> None:
+    """Deletes the table of a frame that keep() gave, which nothing reads any more."""
+    spark = kept.sparkSession
+    for folder in {f.rpartition("/")[0] for f in kept.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -41,7 +57,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         own = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(own, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = keep(small.unionByName(own.select("a", F.col("m").alias("b"))).distinct())
+        done, edges = edges, keep(small.unionByName(own.select("a", F.col("m").alias("b"))).distinct())
+        forget(done)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
