@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lociq.llm.shared import components, keep
 from lociq.llm.tally import NO_ID, answered, blocks_of, merged, tallied
-from lociq.llm.words import LOWER, WordHashes, grams
+from lociq.llm.words import LOWER, WordHashes, grams, let_go
 
 SHINGLE = 3
 #: Links need 100 * intersection >= PERCENT * union.
@@ -230,6 +230,7 @@ def count_chunk(percent: int):
         sids = pd.concat([left, right])["sid"].to_numpy()
         copies = pd.concat([left, right])["copies"].to_numpy()
         some = links.any(axis=1)
+        let_go()
         return pd.DataFrame({"a": sids, "b": sids[leaders_of(links)], "n": (links * copies).sum(axis=1)}, dtype="int64")[some]
 
     return run
@@ -243,11 +244,13 @@ def links_between(members: DataFrame, percent: int, chunk: int) -> DataFrame:
     """
     large = members.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > chunk)
     parts = large.select("cluster", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
-    dealt = members.join(F.broadcast(parts), "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = members.join(parts, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     met = dealt.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = met.select(
         "cluster", F.least("own", "other").alias("m"), F.greatest("own", "other").alias("q"), (F.col("other") < F.col("own")).alias("right"), "sid", "copies", "tokens"
     )
+    # Rows that a join has dealt by cluster would stay together; the cells of a large cluster go to tasks of their own.
+    cells = cells.repartition("cluster", "m", "q")
     return cells.groupBy("cluster", "m", "q").applyInPandas(count_chunk(percent), "a long, b long, n long")
 
 
@@ -260,7 +263,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     """
     keys_of, rows = describe(size, percent)
     blocks = blocks_of(docs)
-    told = keep(answered(blocks, tallied(blocks, keys_of), rows, DOCS))
+    told = keep(answered(blocks, tallied(docs, keys_of), rows, DOCS))
     sets = told.where("prefix is not null").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")
     )

@@ -175,7 +175,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives an empty result; without training documents N and V are 0.
     """
     blocks = blocks_of(docs)
-    told = keep(answered(blocks, tallied(blocks, keys_of), doc_rows, DOCS))
+    told = keep(answered(blocks, tallied(docs, keys_of), doc_rows, DOCS))
     rows = told.where("cells is null")
     # Every type has as many training tokens as its count, so the inverses of the counts add up to the types.
     n, v = rows.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("types")).first()

@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociq.llm.words import let_go
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words known beyond which an encoder starts anew.
@@ -305,6 +307,8 @@ def encode_texts(docs: DataFrame, n: int = 3, model: str = MODEL) -> DataFrame:
                     yield encoded(encoder, part)
         finally:
             gc.enable()
+            del encoder
+            let_go()
 
     def encoded(encoder, part):
         texts, rows = part.column("text").to_pylist(), []

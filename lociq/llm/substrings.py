@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.tally import NO_ID, answered, blocks_of, bucket_bits, merged, open_block, squeezed, tallied, whole
-from lociq.llm.words import WordHashes, grams, mixed, window_min
+from lociq.llm.words import WordHashes, grams, let_go, mixed, window_min
 
 WINDOW = 35
 #: Words of an anchor, and anchors of the stretch in which one is the least.
@@ -84,17 +84,16 @@ def find_segments(window: int, bits: int):
         for doc, h in enumerate(hs):
             if len(h) < window:
                 continue
-            short = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             for start, n, route in segments_of(h, keys, totals, window):
                 known, places = shards[int(mixed(np.array([route], np.uint64))[0]) >> (64 - bits)]
-                content = (route, short[start : start + n + window - 1].tobytes())
+                content = (route, h[start : start + n + window - 1].tobytes())
                 places.append((doc, start, n, known.setdefault(content, len(known))))
         out = []
         for shard, (known, places) in shards.items():
             local = np.array(places, np.uint32)
             times = np.bincount(local[:, 3], minlength=len(known)).astype(np.uint32)
             routes = np.array([r for r, _ in known], np.uint64)
-            lengths = np.array([len(w) // 4 for _, w in known], np.uint32)
+            lengths = np.array([len(w) // 8 for _, w in known], np.uint32)
             body = np.uint32(len(known)).tobytes() + routes.tobytes() + lengths.tobytes() + times.tobytes() + b"".join(w for _, w in known)
             out.append((shard, squeezed(body), squeezed(local.tobytes())))
         return pd.DataFrame(out, columns=["shard", "body", "local"])
@@ -165,7 +164,7 @@ class Automaton:
 
 def repeated_windows(contents: dict[bytes, int], window: int) -> dict[bytes, np.ndarray]:
     """For each segment of one route (with the times it occurs) which of its windows occur twice or more."""
-    sequences = {w: np.frombuffer(w, np.uint32).tolist() for w in contents}
+    sequences = {w: np.frombuffer(w, np.uint64).tolist() for w in contents}
     if len(contents) == 1:
         (w, times), words = next(iter(contents.items())), next(iter(sequences.values()))
         n = len(words) - window + 1
@@ -189,13 +188,15 @@ def mark_shard(window: int):
             lengths, times = np.frombuffer(data[4 + 8 * n : 4 + 16 * n], np.uint32).reshape(2, n).tolist()
             at, mine = 4 + 16 * n, []
             for route, length, t in zip(own, lengths, times, strict=True):
-                w = data[at : at + 4 * length]
-                at += 4 * length
+                w = data[at : at + 8 * length]
+                at += 8 * length
                 routes[route][w] += t
                 mine.append((route, w))
             rows.append(mine)
         marks = {(route, w): m for route, contents in routes.items() for w, m in repeated_windows(contents, window).items()}
         out = [squeezed(np.concatenate([marks[k] for k in mine]).tobytes()) for mine in rows]
+        del routes, marks, rows
+        let_go()
         return pd.DataFrame({"block": pdf["block"], "local": pdf["local"], "marks": out})
 
     return run
@@ -231,6 +232,8 @@ def cut(window: int):
             else:
                 words_kept = words
             out.append((doc_id, len(words), int(removed.sum()), b" ".join(words_kept).decode("utf-8", "replace")))
+        del texts, starts
+        let_go()
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
@@ -250,7 +253,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     keys_of, rows = find_segments(window, bits)
     blocks = blocks_of(docs)
 
-    segments = answered(blocks, tallied(blocks, keys_of), rows, PARTS)
+    segments = answered(blocks, tallied(docs, keys_of), rows, PARTS)
     marks = segments.groupBy("shard").applyInPandas(mark_shard(window), MARKS)
     out = blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(
         cut(window), "doc_id long, n_words long, n_removed long, kept string"

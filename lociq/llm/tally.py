@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.words import encoded
+from lociq.llm.words import encoded, let_go
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
@@ -48,22 +48,26 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 
 def packed(a: np.ndarray) -> bytes:
-    """An array of small numbers (uint32), byte plane after byte plane."""
-    return squeezed(a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
+    """An array of numbers from 0 on (64 bits), byte plane after byte plane, as many planes as the largest needs."""
+    planes = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    rows = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :planes]
+    return bytes([planes]) + squeezed(rows.T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(whole(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+    planes = np.frombuffer(whole(data[1:]), np.uint8).reshape(data[0], -1)
+    rows = np.zeros((planes.shape[1], 8), np.uint8)
+    rows[:, : data[0]] = planes.T
+    return rows.view("<u8").ravel().astype(np.int64)
 
 
-def pack_block(ids: list[int], texts: list[bytes], place: tuple[int, int]) -> tuple[int, bytes, bytes]:
+def numbered(ids: list[int], texts: list[bytes], place: tuple[int, int]) -> tuple[int, bytes, bytes]:
     """A block's number, document ids (null: the least long) and texts; the number tells place and contents."""
     lengths = np.array([len(t) for t in texts], np.uint64)
     i = np.array(ids, np.int64)
     body = lengths.tobytes() + b"".join(texts)
     number = xxhash.xxh3_64_intdigest(i.tobytes() + body, seed=place[0] * 1_000_003 + place[1]) - (1 << 63)
-    return number, i.tobytes(), squeezed(body, 3)
+    return number, i.tobytes(), body
 
 
 def open_block(ids: bytes, texts: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -80,12 +84,8 @@ def open_block(ids: bytes, texts: bytes) -> tuple[np.ndarray, list[bytes]]:
 NO_ID = -(1 << 63)
 
 
-def batch_of(ids: list[int], texts: list[bytes], place: tuple[int, int]) -> pa.RecordBatch:
-    number, i, t = pack_block(ids, texts, place)
-    return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([i]), pa.array([t])], ["block", "ids", "texts"])
-
-
-def packer(batches):
+def gathered(batches):
+    """(ids, texts, place) of one block of rows after the other."""
     pid, seq = TaskContext.get().partitionId(), 0
     ids: list[int] = []
     texts: list[bytes] = []
@@ -97,10 +97,17 @@ def packer(batches):
             texts.append(t)
             held += len(t) + 8
             if held >= BLOCK_BYTES:
-                yield batch_of(ids, texts, (pid, seq))
+                yield ids, texts, (pid, seq)
                 ids, texts, held, seq = [], [], 0, seq + 1
     if ids:
-        yield batch_of(ids, texts, (pid, seq))
+        yield ids, texts, (pid, seq)
+
+
+def packer(batches):
+    for block in gathered(batches):
+        number, i, body = numbered(*block)
+        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([i]), pa.array([squeezed(body, 3)])], ["block", "ids", "texts"])
+        let_go()
 
 
 def blocks_of(docs: DataFrame) -> DataFrame:
@@ -109,33 +116,38 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     It is computed wherever it is used; a block's number holds its contents' hash, and totals that miss a block
     end the run, so an input that doesn't come in the same order again can't give wrong counts.
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(packer, BLOCK)
+    return read_for_blocks(docs).mapInArrow(packer, BLOCK)
+
+
+def read_for_blocks(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text")
 
 
 def bucket_bits(spark) -> int:
-    """Buckets are four times the shuffle partitions, as a power of two."""
-    return max(4, min(16, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    """Buckets are four times the shuffle partitions, as a power of two, so that a bucket stays small as both grow."""
+    return max(4, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
-def tallied(blocks: DataFrame, keys_of: Callable, extra: Callable | None = None) -> DataFrame:
-    """block, bucket, totals: the corpus totals of each block's keys, in the order of the keys.
+def tallied(docs: DataFrame, keys_of: Callable) -> DataFrame:
+    """block, bucket, totals: the corpus totals of the keys of each of blocks_of(docs), in the order of the keys.
 
     keys_of(ids, texts) gives a block's sorted distinct keys and their counts (0 for keys that are only asked for).
+    The blocks themselves aren't made here, only their numbers.
     """
-    bits = bucket_bits(blocks.sparkSession)
+    bits = bucket_bits(docs.sparkSession)
 
     def ask(batches):
-        for b in batches:
-            for number, ids, texts in zip(b["block"], b["ids"], b["texts"], strict=True):
-                keys, counts = keys_of(*open_block(ids, texts))
-                edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                edges = [*edges.tolist(), len(keys)]
-                rows = [
-                    (number, i, packed_keys(keys[s:e]), packed(counts[s:e]))
-                    for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False))
-                    if e > s
-                ]
-                yield pd.DataFrame(rows, columns=["block", "bucket", "keys", "counts"])
+        for ids, texts, place in gathered(batches):
+            number = numbered(ids, texts, place)[0]
+            keys, counts = keys_of(np.array(ids, np.int64), texts)
+            edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            edges = [*edges.tolist(), len(keys)]
+            own = [(i, s, e) for i, (s, e) in enumerate(zip(edges, edges[1:], strict=False)) if e > s]
+            cols = [pa.array([number] * len(own), pa.int64()), pa.array([i for i, _, _ in own], pa.int32())]
+            cols += [pa.array([packed_keys(keys[s:e]) for _, s, e in own], pa.binary()), pa.array([packed(counts[s:e]) for _, s, e in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "bucket", "keys", "counts"])
+            del ids, texts, keys, counts, cols
+            let_go()
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [unpacked_keys(k) for k in pdf["keys"]]
@@ -143,12 +155,14 @@ def tallied(blocks: DataFrame, keys_of: Callable, extra: Callable | None = None)
         _, at = np.unique(np.concatenate(own), return_inverse=True)
         total = np.zeros(at.max() + 1, np.int64)
         np.add.at(total, at, counts)
-        total = np.minimum(total, 0xFFFFFFFF)[at]
+        total = total[at]
         ends = np.cumsum([len(k) for k in own])
         parts = [packed(total[e - len(k) : e]) for k, e in zip(own, ends, strict=True)]
+        del own, counts, at, total
+        let_go()
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "totals": parts})
 
-    return blocks.mapInPandas(ask, PARTS).groupBy("bucket").applyInPandas(add_up, TOTALS)
+    return read_for_blocks(docs).mapInArrow(ask, PARTS).groupBy("bucket").applyInPandas(add_up, TOTALS)
 
 
 def answered(blocks: DataFrame, totals: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -162,7 +176,9 @@ def answered(blocks: DataFrame, totals: DataFrame, run: Callable, schema: str) -
             raise RuntimeError("totals for a block that isn't there: the input changed its order between two reads")
         ids, texts = open_block(left["ids"].iloc[0], left["texts"].iloc[0])
         own = [unpacked(t) for t in right.sort_values("bucket")["totals"]]
-        out = run(ids, texts, np.concatenate(own) if own else np.empty(0, np.uint32))
+        out = run(ids, texts, np.concatenate(own) if own else np.empty(0, np.int64))
+        del texts, own
+        let_go()
         return out.assign(block=left["block"].iloc[0]) if schema.startswith("block ") else out
 
     return blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInPandas(meet, schema)
