@@ -5,12 +5,17 @@ score of reaching it; these are exact heuristics for an A-star search from the e
 best paths in order and expands no partial path that isn't part of one. Pieces hold the word mark only at their
 start, so a lattice falls into one for each word: words are searched apart (and remembered), and a document's N best
 paths differ from the best only in the N - 1 words whose second path costs least, which one more search combines.
+
+Scores are log-probabilities. A vocabulary of merges has ranks in their place (-1, -2, ...), which don't add up to
+anything; there the piece of rank r counts as having the probability 1 / (r + RANK_OFFSET), up to a factor, as word
+frequencies fall off with rank. So the search isn't the library's own greedy merging; README.md has how far apart they are.
 """
 
 from __future__ import annotations
 
 import gc
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterable
@@ -27,6 +32,12 @@ from lociq.llm.words import let_go
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Setting of the session that names another model file.
+SETTING = "spark.lociq.pieces.model"
+#: Added to a merge's rank; frequent pieces differ less than their ranks.
+RANK_OFFSET = 100
+#: Scores below this mark pieces that aren't to be used.
+NEVER = -1e6
 #: Words known beyond which an encoder starts anew.
 REMEMBERED = 50_000
 #: Characters of the documents whose words are searched together (one document at least).
@@ -62,12 +73,15 @@ def load(path: str = MODEL) -> Vocabulary:
             bytes_[int(piece[3:5], 16)] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             ids[piece], scores[piece] = i, sp.get_score(i)
+    used = {p: s for p, s in scores.items() if s > NEVER}
+    if all(s == int(s) for s in used.values()) and len(set(used.values())) == len(used):
+        scores |= {p: -math.log(RANK_OFFSET - s) for p, s in used.items()}
     if any(MARK in p.lstrip(MARK) for p in ids):
         raise ValueError("a piece holds the word mark after other characters; words can't be searched apart")
     if min(bytes_) < 0:
         raise ValueError("the vocabulary has no byte pieces")
     lone = "".join(c for c in "\n\t\r" if not any(c in p for p in ids))
-    return Vocabulary(ids, scores, texts, bytes_, max(map(len, ids)), min(x for x in scores.values() if x > -1e6) - 10, lone, {b: i for i, b in enumerate(bytes_)})
+    return Vocabulary(ids, scores, texts, bytes_, max(map(len, ids)), min(x for x in scores.values() if x > NEVER) - 10, lone, {b: i for i, b in enumerate(bytes_)})
 
 
 def best_paths(arcs: list[list[tuple]], n: int) -> list[tuple[float, list]]:
@@ -340,4 +354,4 @@ def decode_ids(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), model=spark.conf.get(SETTING, MODEL))

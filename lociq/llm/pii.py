@@ -1,6 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words move the score.
 
-Everything is a native expression over one row; no shuffle, and cost linear in the text.
+Everything is a native expression over one row; no shuffle. Costs grow with the text and its matches, a little faster
+than in proportion for tens of thousands of matches (see spans).
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.spans import find_spans, listed, ranked
+from lociq.llm.spans import bound, find_spans, listed, ranked, replaced
 
 LOCAL = "[A-Za-z0-9._%+-]"
 #: Each run of LOCAL is tried from its start, or from the end of the match before; elsewhere it can't match.
@@ -71,8 +72,11 @@ def detect(text: Column) -> dict[str, Column]:
 
 
 def score(kind: str, span: Column) -> Column:
-    """Confidence of a validated span: its prior, moved by words within 40 code points before it."""
-    near = F.lower(F.right(span["before"], F.lit(40)))
+    """Confidence of a validated span: its prior, moved by words within 40 code points on either side.
+
+    Words past the next span of the same kind belong to that.
+    """
+    near = F.lower(F.concat_ws("\n", F.right(span["before"], F.lit(40)), F.left(span["after"], F.lit(40))))
     return F.round(
         F.greatest(
             F.lit(0.0),
@@ -88,7 +92,7 @@ def score(kind: str, span: Column) -> Column:
 
 
 def scored(kind: str) -> Column:
-    return F.transform(kind, lambda s: s.withField("score", score(kind, s)).dropFields("before"))
+    return F.transform(kind, lambda s: s.withField("score", score(kind, s)).dropFields("before", "after"))
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
@@ -109,29 +113,15 @@ def sure(kind: str, spans: Column, least: float) -> Column:
     return F.filter(spans, lambda s: score(kind, s) >= least)
 
 
-def mask(text: Column, least: float = 0.4) -> Column:
+def mask(text: Column, least: float = 0.2) -> Column:
     """`text` with every span of at least that score replaced by its kind in angle brackets; null stays null.
 
-    Overlapping spans are replaced together, under the kind that begins first.
+    No span of the kinds in BASE scores less than the default. Overlapping spans are replaced together, under the
+    kind that begins first.
     """
     found = detect(F.coalesce(text, F.lit("")))
-    rows = [ranked(sure(kind, spans, least), rank, kind) for rank, (kind, spans) in enumerate(found.items())]
-    done = F.aggregate(
-        F.array_sort(F.concat(*rows)),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">"))),
-                ).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), text.substr(acc["at"] + 1, F.length(text) + 1)),
-    )
-    return F.when(F.size(F.concat(*rows)) == 0, text).otherwise(done)
+    rows = F.concat(*[ranked(sure(kind, spans, least), rank, kind) for rank, (kind, spans) in enumerate(found.items())])
+    return bound(F.array_sort(rows), lambda r: F.when(F.size(r) == 0, text).otherwise(replaced(text, r)))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

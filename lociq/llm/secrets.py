@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociq.llm.shared import new_folder
 from lociq.llm.spans import find_spans, listed
 
 RULES_VERSION = 1
@@ -41,31 +42,39 @@ def blob_id(text: Column) -> Column:
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules_version: int = RULES_VERSION) -> DataFrame:
-    """(blob, path) of one path for each blob that `ledger` (blob, rules_version) lacks under these rules.
+    """(blob, text) of each distinct text that `ledger` (blob, rules_version) lacks under these rules.
 
-    Only digests are shuffled; copies of a blob meet in partial aggregates, so a blob with many paths is no hot key.
+    Copies of a text meet in partial aggregates, so one with many paths is no hot key: a task passes it on once.
     """
-    blobs = versions.groupBy(blob_id(F.col("text")).alias("blob")).agg(F.min("path").alias("path"))
+    blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
     if ledger is None:
         return blobs
-    return blobs.join(ledger.where(F.col("rules_version") == rules_version), "blob", "left_anti")
+    return blobs.join(ledger.where(F.col("rules_version") == rules_version).select("blob"), "blob", "left_anti")
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules_version: int = RULES_VERSION) -> DataFrame:
     """Findings of blobs not in the ledger: blob, rules_version, and one array of spans for each kind.
 
-    `versions` has path (any orderable type) and text; null texts are the empty blob. The result is also the
-    ledger's next part: append it to a table and pass that table on the next run. Several versions under one
-    path are told apart by their digests, and equal rows yield one finding.
+    `versions` has path (any type) and text; null texts are the empty blob. The result is also the ledger's next
+    part. Null paths, several versions under one path and equal rows need no care: only contents count here.
     """
-    todo = unseen(versions, ledger, rules_version)
-    texts = versions.select("path", F.coalesce("text", F.lit("")).alias("text"), blob_id(F.col("text")).alias("digest"))
-    # Null paths meet by their digests; without these they would all meet one another.
-    chosen = todo.withColumnRenamed("path", "at").hint("shuffle_hash")
-    own = texts.join(chosen, F.col("path").eqNullSafe(F.col("at")) & (F.col("digest") == F.col("blob")))
-    found = own.select("blob", *[s.alias(k) for k, s in detect(F.col("text")).items()])
-    slim = lambda k: F.transform(k, lambda s: s.dropFields("before", "match")).alias(k)
-    return found.select("blob", F.lit(rules_version).alias("rules_version"), *[slim(k) for k in KINDS]).dropDuplicates(["blob"])
+    found = unseen(versions, ledger, rules_version).select("blob", *[s.alias(k) for k, s in detect(F.col("text")).items()])
+    slim = lambda k: F.transform(k, lambda s: s.dropFields("before", "after", "match")).alias(k)
+    return found.select("blob", F.lit(rules_version).alias("rules_version"), *[slim(k) for k in KINDS])
+
+
+def advance(folder: str, versions: DataFrame, rules_version: int = RULES_VERSION) -> DataFrame:
+    """Brings the ledger in `folder` up to date with `versions` and returns its rows under these rules.
+
+    The ledger is a table of findings by (blob, rules_version). Each call appends the findings of what the table
+    lacks; texts that it has aren't scanned, whichever paths they come under. A folder that isn't there yet is an
+    empty ledger.
+    """
+    spark = versions.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    known = spark.read.parquet(folder) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+    scan(versions, known, rules_version).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder).where(F.col("rules_version") == rules_version)
 
 
 def findings_by_path(versions: DataFrame, findings: DataFrame) -> DataFrame:
@@ -74,9 +83,9 @@ def findings_by_path(versions: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """All documents are versions; their ledger is a table in the shared folder, from which all paths get their findings."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "text")
-    findings = scan(docs)
-    digested = findings.select(
+    digested = advance(new_folder(spark), docs).select(
         "blob",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(listed([(k, F.col(k)) for k in BASE]), 256).alias("base_sha256"),

@@ -15,6 +15,8 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 BAD = "label=bad"
+#: Least share of the labelled pages that hold a combination of tokens, and of those with it that are bad.
+SUPPORT, CONFIDENCE = 0.002, 0.5
 
 
 def host_of(url: Column) -> Column:
@@ -121,7 +123,7 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     ).select("url", "best.confidence", F.col("best.rule_id").alias("mined_rule"))
 
 
-def judge(pages: DataFrame, labelled: DataFrame, support: float = 0.002, confidence: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule, confidence for every row of `pages`.
 
     Null urls and urls without "://" have empty host and path; they and urls without any matching rule are
@@ -147,10 +149,17 @@ def judge(pages: DataFrame, labelled: DataFrame, support: float = 0.002, confide
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """url and bad of pages whose document is labelled; the number that ends a url's path names its document.
+    """url and bad of the pages that something is known about: the verdict of a listed rule, else their document's label.
 
-    A page is bad if its document is toxic or of quality 0.
+    The number that ends a url's path names its document; a page is bad if that is toxic or of quality 0.
     """
+    rule = longest_rule(host_of(F.col("url")), path_of(F.col("url")))["verdict"]
+    pages = pages.select("url", rule.alias("listed"))
+    listed = pages.where("listed is not null").select("url", (F.col("listed") == "block").cast("int").alias("bad"))
+    return listed.unionByName(document_labels(pages.where("listed is null"), labels))
+
+
+def document_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})/?$", 1).try_cast("bigint")
     own = labels.where("quality is not null or toxic is not null").select(
         "doc_id", ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int").alias("bad")
