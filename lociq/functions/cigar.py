@@ -42,6 +42,13 @@ def resolved(ops: Column, pos: Column, on_reference: str = ON_REFERENCE) -> Colu
     return F.aggregate(ops, F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), empty.alias("out")), step)["out"]
 
 
+def positions(ops: Column, pos: Column) -> Column:
+    """The reference position of each base of a read: -1 for inserted and clipped ones."""
+    parts = F.filter(resolved(ops, pos), lambda o: o["op"].isin(*ON_READ) & (o["size"] > 0))
+    place = lambda o: F.when(o["op"].isin("I", "S"), F.array_repeat(F.lit(-1), o["size"])).otherwise(F.sequence(o["ref_from"], o["ref_from"] + o["size"] - 1))
+    return F.flatten(F.transform(parts, place))
+
+
 def clip(ops: Column, at: int) -> Column:
     """Size of the soft clip that is the first (at=1) or last (at=-1) operation, else 0."""
     o = F.try_element_at(ops, F.lit(at))

@@ -79,18 +79,71 @@ def overlap_of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([best_overlap(x, y, 10, 2) for x, y in zip(a, b, strict=True)], columns=["length", "mismatches"])
 
 
-def tandem_length(s: str, longest: int = 5) -> int:
-    """Length of the longest run in which a unit of up to `longest` characters repeats."""
-    best = min(1, len(s))
-    x = np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
-    for k in range(1, min(longest, len(x) - 1) + 1):
-        same = x[k:] == x[:-k]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-        if len(edges):
-            best = max(best, int((edges[1::2] - edges[::2]).max()) + k)
+def tandem_length(s: str, longest: int = 5, errors: int = 1) -> int:
+    """Length of the longest repetition of a unit of up to `longest` characters, the unit itself not counted.
+
+    The units that follow may differ from the first one in up to `errors` characters altogether. The string's last
+    character isn't reached by a unit.
+    """
+    best, x = 0, np.frombuffer(s.encode("latin-1", "replace"), np.uint8)
+    for k in range(1, longest + 1):
+        at = np.arange(max(0, len(x) - 2 * k))  # starts with room for one unit more
+        wrong, m = np.zeros(len(at), np.int64), 0
+        while len(at):
+            m += 1
+            for d in range(k):
+                wrong += x[at + d] != x[at + m * k + d]
+            at, wrong = at[wrong <= errors], wrong[wrong <= errors]
+            best = max(best, m * k) if len(at) else best
+            room = at + (m + 2) * k < len(x)
+            at, wrong = at[room], wrong[room]
     return best
 
 
 @pandas_udf(T.IntegerType())
 def tandem_of(s: pd.Series) -> pd.Series:
     return s.map(tandem_length)
+
+
+def common_substring(a: str, b: str) -> tuple[int, int, int]:
+    """Length of the longest string that both hold, and where it first begins in each (0, 0, 0: none)."""
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    best, run = (0, 0, 0), np.zeros(len(y) + 1, np.int64)
+    for i, c in enumerate(x):
+        run = np.append(0, np.where(y == c, run[:-1] + 1, 0))
+        j = int(run.argmax())
+        if run[j] > best[0]:
+            best = (int(run[j]), i + 1 - int(run[j]), j - int(run[j]))
+    return best
+
+
+COMMON = T.StructType([T.StructField(n, T.IntegerType()) for n in ("length", "at", "other_at")])
+
+
+@pandas_udf(COMMON)
+def common_of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([common_substring(x, y) for x, y in zip(a, b, strict=True)], columns=["length", "at", "other_at"])
+
+
+def same_run(x: np.ndarray, y: np.ndarray, step: int = 64) -> int:
+    """How many values agree from the start of both on."""
+    n, at = min(len(x), len(y)), 0
+    while at < n:
+        wrong = np.flatnonzero(x[at : min(n, at + step)] != y[at : min(n, at + step)])
+        if len(wrong):
+            return at + int(wrong[0])
+        at, step = min(n, at + step), step * 2
+    return n
+
+
+def displacement(seq: str, f2: int, r1: int) -> tuple[int, int]:
+    """How far the break points f2 and r1 can move together along `seq`, to the right and to the left, the joined text being the same."""
+    x = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
+    if not (0 < f2 < len(x) and 0 < r1 < len(x)):
+        return 0, 0
+    return same_run(x[f2 + 1 :], x[r1:]), same_run(x[1 : f2 + 1][::-1], x[1:r1][::-1])
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("f2", "r1", "right", "left")])))
+def displacements(seq: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([[(e["f2"], e["r1"], *displacement(s, e["f2"], e["r1"])) for e in es] for s, es in zip(seq, ends, strict=True)])

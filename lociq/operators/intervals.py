@@ -1,7 +1,9 @@
 """Joins and folds of intervals (columns tid, p1, p2; both ends inclusive).
 
 Spark plans a range condition as an equi-join with a residual, so a chromosome would be one hot key. The joins here
-deal intervals into bins first: a pair meets in each bin that both touch, and is kept in the first of them only.
+deal intervals into bins first. Bins come in levels, each FAN times as wide as the one below; an interval belongs to
+the lowest level whose bins are as wide as it is long, and touches two bins there at most. A pair meets at the higher
+of its two levels, so only the shorter interval is put into wider bins, and no row is repeated more than twice a level.
 """
 
 from __future__ import annotations
@@ -10,31 +12,77 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 64
+#: Width of the lowest bins, the factor from one level to the next (as a power of two), and the longest interval by default.
+BIN, FAN_BITS, LONGEST = 64, 3, 1 << 28
 
 
-def binned(df: DataFrame, width: int, beg: str = "p1", end: str = "p2", bin_col: str = "bin") -> DataFrame:
-    """A row for each bin that the interval touches."""
-    return df.withColumn(bin_col, F.explode(F.sequence(F.floor(F.col(beg) / width), F.floor(F.col(end) / width))))
+def level_count(longest: int) -> int:
+    return next(n for n in range(1, 64) if BIN << FAN_BITS * (n - 1) >= longest)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, how: str = "inner") -> DataFrame:
+def width_of(level: Column) -> Column:
+    return F.expr(f"bigint({BIN})") * F.pow(F.lit(2), level * FAN_BITS).cast("bigint")
+
+
+def level_of(size: Column, levels: int) -> Column:
+    """The lowest level whose bins are at least `size` wide; longer intervals belong to the highest."""
+    return sum((F.when(size > BIN << FAN_BITS * k, 1).otherwise(0) for k in range(levels - 1)), F.lit(0))
+
+
+def dealt(df: DataFrame, beg: str, end: str, levels: int, which: str) -> DataFrame:
+    """A row for each bin that the interval touches: at its own level, from there on (`up`), or only `above`."""
+    own = level_of(F.col(end) - F.col(beg) + 1, levels)
+    there = {"own": F.array(own), "up": F.sequence(own, F.lit(levels - 1)), "above": F.when(own < levels - 1, F.sequence(own + 1, F.lit(levels - 1)))}[which]
+    rows = df.withColumn("level", F.explode(there))
+    w = width_of(F.col("level"))
+    return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col(beg) / w), F.floor(F.col(end) / w))))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", longest: int = LONGEST) -> DataFrame:
     """Pairs of overlapping intervals on the same tid; right columns must have other names but for tid, q1, q2.
 
-    `right` has tid, q1, q2. Each pair comes once: in the bin of the later of the two starts.
+    `right` has tid, q1, q2. Each pair comes once: in the bin of the later of the two starts. `longest` is a bound on
+    the lengths that spares levels; intervals beyond it are still joined, over more bins. Semi and anti joins give
+    distinct rows of `left`, whose columns mustn't be null.
     """
-    a, b = binned(left, width), binned(right, width, "q1", "q2")
+    n, keys = level_count(longest), left.columns
+    parts = [(dealt(left, "p1", "p2", n, a), dealt(right, "q1", "q2", n, b)) for a, b in [("own", "up"), ("above", "own")][: 1 if n == 1 else 2]]
     if how == "inner":
-        met = a.join(b, ["tid", "bin"]).where((F.col("p1") <= F.col("q2")) & (F.col("q1") <= F.col("p2")))
-        return met.where(F.col("bin") == F.floor(F.greatest("p1", "q1") / width)).drop("bin")
-    keys = [c for c in left.columns]
-    cond = (a["tid"] == b["tid"]) & (a["bin"] == b["bin"]) & (a["p1"] <= b["q2"]) & (b["q1"] <= a["p2"])
-    hit = a.join(b, cond, "left_semi").select(*keys).distinct()
+        met = [a.join(b, ["tid", "level", "bin"]).where((F.col("p1") <= F.col("q2")) & (F.col("q1") <= F.col("p2"))) for a, b in parts]
+        met = [m.where(F.col("bin") == F.floor(F.greatest("p1", "q1") / width_of(F.col("level")))).drop("bin", "level") for m in met]
+        return met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    hits = []
+    for a, b in parts:
+        cond = (a["tid"] == b["tid"]) & (a["level"] == b["level"]) & (a["bin"] == b["bin"]) & (a["p1"] <= b["q2"]) & (b["q1"] <= a["p2"])
+        hits.append(a.join(b, cond, "left_semi").select(*keys))
+    hit = (hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])).distinct()
     if how == "left_semi":
         return hit
     return left.join(hit, keys, "left_anti")
 
 
+def reciprocal_join(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
+    """Pairs as of overlap_join() whose overlap exceeds `share` of the longer one's length p2 - p1.
+
+    Such a pair's lengths differ by no more than the factor 1 / share (and one base), and its starts by less than the
+    rest of the longer one: a left interval looks for its partners only among those of the length classes near its
+    own, in the bins of starts within reach. Most pairs that merely overlap never meet.
+    """
+    size = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(1))
+    exact = lambda a, b: F.floor(F.log2(size(a, b))).cast("int")
+    b = right.withColumn("class", exact("q1", "q2"))
+    b = b.withColumn("bin", F.floor(F.col("q1") / F.pow(F.lit(2.0), F.col("class") + 1)))
+    # Overlap counts both ends, so it may exceed a length by one.
+    low = F.floor(F.log2(F.greatest(F.lit(1.0), share * size("p1", "p2") - 1))).cast("int")
+    high = F.floor(F.log2((size("p1", "p2") + 1) / share + 1)).cast("int")
+    a = left.withColumn("class", F.explode(F.sequence(low, high)))
+    width = F.pow(F.lit(2.0), F.col("class") + 1)
+    reach = (1 - share) * F.greatest(size("p1", "p2").cast("double"), width) + 2
+    a = a.withColumn("bin", F.explode(F.sequence(F.floor((F.col("p1") - reach) / width), F.floor((F.col("p1") + reach) / width))))
+    cols = [F.col(c) for c in ("p1", "p2", "q1", "q2")]
+    return a.join(b, ["tid", "class", "bin"]).where(reciprocal(*cols, share) & (overlap(*cols) > 0)).drop("class", "bin")
+
+
 def overlap(p1, p2, q1, q2) -> Column:
     """Bases shared by two inclusive intervals (0 or less if none)."""
     return F.least(p2, q2) - F.greatest(p1, q1) + 1
@@ -45,8 +93,9 @@ def reciprocal(p1, p2, q1, q2, share: float) -> Column:
     return overlap(p1, p2, q1, q2) > share * F.greatest(p2 - p1, q2 - q1)
 
 
-def length_between(df: DataFrame, least: int = 3, most: int = 10_000_000) -> DataFrame:
-    return df.where((F.col("p2") - F.col("p1")).between(least, most))
+def length_between(df: DataFrame, least: int = 3, most: int = 10_000_000, kind: str | None = None) -> DataFrame:
+    own = df.where((F.col("p2") - F.col("p1")).between(least, most))
+    return own if kind is None else own.where(F.col("type") == kind)
 
 
 def band_join(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
@@ -56,41 +105,66 @@ def band_join(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
     return a.join(b, ["tid", "band"]).where(F.abs(F.col("pos") - F.col("rpos")) <= reach).drop("band")
 
 
-def point_in(points: DataFrame, calls: DataFrame, width: int = BIN) -> DataFrame:
-    """Points strictly inside calls (tid, p1, p2): a point is in one bin, a call in all that it touches."""
-    a = points.withColumn("bin", F.floor(F.col("pos") / width))
-    return a.join(binned(calls, width), ["tid", "bin"]).where((F.col("p1") < F.col("pos")) & (F.col("pos") < F.col("p2"))).drop("bin")
+def point_in(points: DataFrame, calls: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """Points strictly inside calls (tid, p1, p2): a point is in one bin of each level, a call in two of its own."""
+    n = level_count(longest)
+    a = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    a = a.withColumn("bin", F.floor(F.col("pos") / width_of(F.col("level"))))
+    b = dealt(calls, "p1", "p2", n, "own")
+    return a.join(b, ["tid", "level", "bin"]).where((F.col("p1") < F.col("pos")) & (F.col("pos") < F.col("p2"))).drop("bin", "level")
+
 
+#: Positions of a stretch in which maxima are taken apart.
+STRETCH = 1 << 14
 
-def islands(df: DataFrame, keys: list[str], at: str, gap: int) -> DataFrame:
-    """Groups of rows whose successive `at` differ by no more than `gap`, numbered from 0 within `keys`."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    new = (F.col(at) - F.lag(at).over(w) > gap).cast("int")
-    return df.withColumn("island", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+def covered_runs(calls: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Distinct (keys, p1, p2) with `run`, the first position of the stretch of overlapping intervals that they are in.
+
+    The farthest end of all earlier intervals comes from windows over stretches, and from one over the stretches' ends.
+    """
+    own = calls.select(*keys, "p1", "p2").distinct().withColumn("stretch", F.floor(F.col("p1") / STRETCH))
+    far = own.groupBy(*keys, "stretch").agg(F.max("p2").alias("far"))
+    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = far.withColumn("carried", F.max("far").over(before)).drop("far")
+    within = Window.partitionBy(*keys, "stretch").orderBy("p1", "p2").rowsBetween(Window.unboundedPreceding, -1)
+    seen = own.withColumn("here", F.max("p2").over(within)).join(carried, [*keys, "stretch"])
+    reach = F.greatest("here", "carried")
+    opens = F.when(reach.isNull() | (F.col("p1") > reach), F.col("p1"))
+    marked = seen.withColumn("opens", opens)
+    last = marked.groupBy(*keys, "stretch").agg(F.max("opens").alias("last"))
+    earlier = last.withColumn("earlier", F.max("last").over(before)).drop("last")
+    upto = Window.partitionBy(*keys, "stretch").orderBy("p1", "p2").rowsBetween(Window.unboundedPreceding, 0)
+    out = marked.withColumn("own", F.max("opens").over(upto)).join(earlier, [*keys, "stretch"])
+    return out.select(*keys, "p1", "p2", F.coalesce("own", "earlier").alias("run"))
 
 
 def greedy_union(calls: DataFrame, share: float = 0.8, keys: tuple[str, ...] = ("tid",)) -> DataFrame:
     """Merges each interval into the last merged one of its `keys` while they overlap by more than `share` of both.
 
     The fold is sequential, but an interval can't merge across a place that none covers: runs of overlapping
-    intervals are folded apart.
+    intervals are dealt to tasks, which fold sorted rows as they come and hold no more than the last merged one.
     """
-    w = Window.partitionBy(*keys).orderBy("p1", "p2").rowsBetween(Window.unboundedPreceding, -1)
-    runs = calls.select(*keys, "p1", "p2").distinct().withColumn("reach", F.max("p2").over(w))
-    w2 = Window.partitionBy(*keys).orderBy("p1", "p2").rowsBetween(Window.unboundedPreceding, 0)
-    runs = runs.withColumn("run", F.sum(F.when(F.col("p1") > F.coalesce("reach", F.col("p1")), 1).otherwise(0)).over(w2))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        for p1, p2 in pdf.sort_values(["p1", "p2"])[["p1", "p2"]].itertuples(index=False):
-            if out:
-                last = out[-1]
-                both = min(last[1], p2) - max(last[0], p1) + 1
-                if both > share * (last[1] - last[0] + 1) and both > share * (p2 - p1 + 1):
-                    last[1], last[2] = max(last[1], p2), last[2] + 1
-                    continue
-            out.append([p1, p2, 1])
-        merged = pd.DataFrame(out, columns=["p1", "p2", "merged"])
-        return merged.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "p1", "p2", "merged"]]
-
-    return runs.groupBy(*keys, "run").applyInPandas(fold, ", ".join([*(f"{k} int" for k in keys), "p1 int, p2 int, merged long"]))
+    runs = covered_runs(calls, keys)
+    by = [*keys, "run"]
+
+    def fold(batches):
+        last, at = None, None
+        for b in batches:
+            out = []
+            for row in b[[*by, "p1", "p2"]].itertuples(index=False):
+                here, (p1, p2) = tuple(row[:-2]), row[-2:]
+                if last and here == at:
+                    both = min(last[1], p2) - max(last[0], p1) + 1
+                    if both > share * (last[1] - last[0] + 1) and both > share * (p2 - p1 + 1):
+                        last[1], last[2] = max(last[1], p2), last[2] + 1
+                        continue
+                if last:
+                    out.append((*at[:-1], *last))
+                last, at = [p1, p2, 1], here
+            yield pd.DataFrame(out, columns=[*keys, "p1", "p2", "merged"])
+        if last:
+            yield pd.DataFrame([(*at[:-1], *last)], columns=[*keys, "p1", "p2", "merged"])
+
+    schema = ", ".join([*(f"{k} int" for k in keys), "p1 int, p2 int, merged long"])
+    return runs.repartition(*by).sortWithinPartitions(*by, "p1", "p2").mapInPandas(fold, schema)

@@ -28,7 +28,7 @@ def view_filter(reads: DataFrame, least_mapq: int = 0, on: int = 0, off: int = 0
 
 
 def running(df: DataFrame, value: str, out: str, stride: int = STRIDE) -> DataFrame:
-    """Running sum of `value` over pos within tid.
+    """Running sum of `value` over pos within tid; rows of one position all get the sum up to and with it.
 
     Sums of whole bins come first, then each bin is scanned apart: no window holds more than a bin, but for one over
     the bins' sums.
@@ -37,7 +37,7 @@ def running(df: DataFrame, value: str, out: str, stride: int = STRIDE) -> DataFr
     sums = binned.groupBy("tid", "stretch").agg(F.sum(value).alias("own"))
     before = Window.partitionBy("tid").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("tid", "stretch", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("tid", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("tid", "stretch").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
     return binned.join(base, ["tid", "stretch"]).withColumn(out, F.col("base") + F.sum(value).over(within)).drop("base", "stretch")
 
 
@@ -51,28 +51,35 @@ def depth_runs(reads: DataFrame) -> DataFrame:
 
 
 def flagstat(reads: DataFrame) -> DataFrame:
+    """Counters of `reads` (flag, mapq, tid, and mtid, the mate's), apart for reads that failed quality checks."""
     f = lambda v: bit("flag", v)
     mapped, paired = ~f(4), f(1)
+    both = paired & mapped & ~f(8)
+    away = both & ~F.col("mtid").eqNullSafe(F.col("tid"))
     counts = {
-        "total": F.lit(True), "secondary": f(256), "duplicates": f(1024), "mapped": mapped, "paired": paired,
-        "read1": paired & f(64), "read2": paired & f(128), "proper": paired & f(2) & mapped, "singletons": paired & f(8) & mapped,
+        "total": F.lit(True), "secondary": f(256), "duplicates": f(1024), "mapped": mapped, "paired": paired, "read1": paired & f(64), "read2": paired & f(128),
+        "proper": paired & f(2), "both_mapped": both, "singletons": paired & f(8) & mapped, "mate_elsewhere": away, "mate_elsewhere_q5": away & (F.col("mapq") >= 5),
     }
     return reads.groupBy(f(512).alias("failed")).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
 
 
-def dedup_single(reads: DataFrame) -> DataFrame:
-    """Of reads with one tid, strand and 5' end the one of highest quality, the first of equals."""
+def dedup_single(reads: DataFrame, library: str | None = None) -> DataFrame:
+    """Of reads with one tid, strand and 5' end (and `library`) the one with the most `quality`, the first of equals."""
     reverse = bit("flag", 16)
     end = F.when(reverse, F.col("pos") + F.col("l_qseq")).otherwise(F.col("pos"))
-    best = reads.withColumns({"end": end, "reverse": reverse}).groupBy("tid", "end", "reverse").agg(
-        F.max_by("read_id", F.struct("mapq", -F.col("read_id"))).alias("read_id")
-    )
-    return best.select("read_id", "tid", "end", "reverse")
+    keys = ["tid", "end", "reverse", *([library] if library else [])]
+    return reads.withColumns({"end": end, "reverse": reverse}).groupBy(*keys).agg(F.max_by("read_id", F.struct("quality", -F.col("read_id"))).alias("read_id"))
 
 
-def dedup_pairs(pairs: DataFrame) -> DataFrame:
-    """Of templates with one tid, position and insert size the one with the smallest id."""
-    return pairs.groupBy("tid", "f1", "isize").agg(F.min("template_id").alias("template_id"), F.count("*").alias("copies"))
+def dedup_pairs(pairs: DataFrame, library: str | None = None) -> DataFrame:
+    """Of templates with one tid, position and insert size (and `library`) the one with the most `quality`, the first of equals.
+
+    Only pairs whose first read lies before its mate (isize > 0) can be duplicates; the others all stay.
+    """
+    keys = ["tid", "f_pos", "isize", *([library] if library else [])]
+    best = pairs.where("isize > 0").groupBy(*keys).agg(F.max_by("template_id", F.struct("quality", -F.col("template_id"))).alias("template_id"), F.count("*").alias("copies"))
+    rest = pairs.where("isize <= 0").select(*keys, "template_id", F.lit(1).cast("long").alias("copies"))
+    return best.unionByName(rest)
 
 
 def gap_sessions(df: DataFrame, at: str, gap: int) -> DataFrame:

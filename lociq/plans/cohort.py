@@ -21,11 +21,16 @@ def universe(calls):
 
 
 def matrix_cells(calls, share: float = 0.5):
-    """Cells of the call-by-sample matrix: of a sample's calls that overlap enough, the last in order counts."""
-    own = iv.length_between(calls).select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), "sample_no")
-    cols = [F.col(c) for c in COLS]
-    kept = iv.overlap_join(universe(calls), own).where(iv.reciprocal(*cols, share) & (iv.overlap(*cols) > 0))
-    return kept.groupBy("tid", "p1", "p2", "sample_no").agg(F.max_by(iv.overlap(*cols), F.struct("q1", "q2")).alias("cell"))
+    """Cells of the call-by-sample matrix: of a sample's calls that overlap enough, the last in order counts.
+
+    Places are joined once each; the samples that have a call at a place are attached to it as an array.
+    """
+    placed = iv.length_between(calls).groupBy("tid", "p1", "p2").agg(F.collect_set("sample_no").alias("samples"))
+    own = placed.select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), "samples")
+    met = iv.reciprocal_join(placed.drop("samples"), own, share)
+    cells = met.select("tid", "p1", "p2", "q1", "q2", F.explode("samples").alias("sample_no"))
+    last = cells.groupBy("tid", "p1", "p2", "sample_no").agg(F.max(F.struct("q1", "q2")).alias("q"))
+    return last.select("tid", "p1", "p2", "sample_no", iv.overlap(F.col("p1"), F.col("p2"), F.col("q.q1"), F.col("q.q2")).alias("cell"))
 
 
 def cohort_overlap_matrix(spark, sf_dir):
@@ -44,10 +49,12 @@ def cohort_marginals(spark, sf_dir):
 
 
 def reciprocal_overlap_pairs(spark, sf_dir):
-    a = cnv(spark, sf_dir).select("tid", "p1", "p2", "sample_no")
-    b = a.select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("sample_no").alias("other"))
-    met = iv.overlap_join(a, b).where("sample_no < other")
-    return met.where(iv.reciprocal(*[F.col(c) for c in COLS], 0.8)).groupBy("sample_no", "other").agg(F.count("*").alias("n"))
+    """How many pairs of calls of two samples overlap by more than 0.8; places are joined once, with each sample's calls there."""
+    here = cnv(spark, sf_dir).groupBy("tid", "p1", "p2", "sample_no").agg(F.count("*").alias("n"))
+    a = here.groupBy("tid", "p1", "p2").agg(F.collect_list(F.struct("sample_no", "n")).alias("own"))
+    b = a.select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("own").alias("theirs"))
+    met = iv.reciprocal_join(a, b, 0.8).select(F.explode("own").alias("a"), "theirs").select("a", F.explode("theirs").alias("b")).where("a.sample_no < b.sample_no")
+    return met.groupBy(F.col("a.sample_no").alias("sample_no"), F.col("b.sample_no").alias("other")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("n"))
 
 
 def windows(spark, sf_dir):

@@ -5,6 +5,8 @@ Each view is one SELECT in Spark SQL. `duck()` gives the same text with the one
 
 from __future__ import annotations
 
+import re
+
 DAY = "CAST(datediff(CAST({} AS DATE), DATE '1995-01-01') AS INT)"
 DUCK_DAY = "CAST(date_diff('day', DATE '1995-01-01', CAST({} AS DATE)) AS INT)"
 
@@ -33,14 +35,36 @@ TEXT = {
       CASE WHEN read_id % 5 = 0 THEN concat(6 + read_id % 7, 'S') ELSE '' END) AS cigar FROM READ[fx_read] x""",
     "fx_geno": """SELECT CAST(user_id % 97 AS INT) AS site, CAST(user_id AS BIGINT) AS sample, event_type AS grp,
       CAST(count(*) % 3 AS INT) AS gt, CAST(count(*) AS INT) AS dp FROM events GROUP BY user_id, event_type""",
+    # Contigs, reads of 60 bases every 20 of them (some with a changed base) in three samples, and calls on contigs.
+    "fx_ref": """SELECT doc_id AS tid, CLEAN[translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'ACGTNACGTACGTACGTACGTACGTAACGTNACGTACGTACGTACGTACGTA')] AS seq FROM documents WHERE text IS NOT NULL""",
+    "fx_aln": """SELECT CAST(tid * 100000 + k AS BIGINT) AS read_id, tid, CAST(20 * k AS INT) AS pos, 60 AS l_qseq, CAST((k * 13 + tid * 7) % 61 AS INT) AS mapq,
+      CAST(1 + 16 * (k % 2) + (CASE WHEN k % 4 < 2 THEN 64 ELSE 128 END) + (CASE WHEN k % 11 = 0 THEN 1024 ELSE 0 END) AS INT) AS flag, CAST(k % 3 AS INT) AS sample_no,
+      '60M' AS cigar, CASE WHEN k % 3 = 0 THEN concat(substr(raw, 1, m), translate(substr(raw, m + 1, 1), 'ACGTN', 'CGTAA'), substr(raw, m + 2)) ELSE raw END AS seq,
+      translate(raw, 'ACGTN', 'I5?+#') AS qual, raw AS ref FROM (SELECT tid, k, CAST((k * 7 + tid) % 60 AS INT) AS m, substr(seq, CAST(20 * k + 1 AS INT), 60) AS raw FROM (
+      SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 60) / 20.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 60) e) c""",
+    "fx_dcall": """SELECT tid, CAST(50 * k + 10 AS INT) AS p1, CAST(50 * k + 30 + (k * 7) % 90 AS INT) AS p2, CAST((k + tid) % 5 AS INT) AS rdscore,
+      CASE WHEN k % 2 = 0 THEN 'DEL' ELSE 'DUP' END AS type FROM (SELECT tid, EACH[0;CAST(floor((length(seq) - 60) / 50.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 60) e""",
+    # Pairs with both reads' own fields.
+    "fx_mates": """SELECT a.template_id, a.tid, a.read_id AS f_id, a.pos AS f_pos, a.l_qseq AS f_len, a.flag AS f_flag, a.mapq AS f_mapq,
+      b.read_id AS r_id, b.pos AS r_pos, b.l_qseq AS r_len, b.flag AS r_flag, b.mapq AS r_mapq, b.pos + b.l_qseq - a.pos AS isize
+      FROM (SELECT * FROM READ[fx_read] x WHERE flag % 32 < 16) a JOIN (SELECT * FROM READ[fx_read] y WHERE flag % 32 >= 16) b ON a.template_id = b.template_id AND a.tid = b.tid""",
+    # Variant records: one for each order, on 24 chromosomes.
+    "fx_var": """SELECT o_orderkey AS id, CAST(o_custkey % 24 AS INT) AS tid, CAST(DAY[o_orderdate] * 20 + o_orderkey % 20 AS INT) AS pos,
+      CASE WHEN o_orderkey % 7 = 0 THEN 'AC' ELSE substr('ACGT', CAST(1 + o_orderkey % 4 AS INT), 1) END AS ref,
+      CASE WHEN o_orderkey % 7 = 0 THEN 'A' WHEN o_orderkey % 11 = 0 THEN 'ATT' WHEN o_orderkey % 13 = 0 THEN '.' ELSE substr('CGTA', CAST(1 + o_orderkey % 4 AS INT), 1) END AS alt,
+      CAST(o_orderkey % 97 AS INT) AS qual, CAST(o_orderkey % 40 AS INT) AS dp, CAST((o_orderkey * 3) % 61 AS INT) AS mq,
+      CAST(o_orderkey % 9 AS INT) AS alt_fwd, CAST(o_orderkey % 5 AS INT) AS alt_rev, (o_orderkey % 1009) / 1009.0 AS pv FROM orders""",
 }
 
 
 def text_of(view: str, dialect: str) -> str:
-    import re
-
     day = DAY if dialect == "spark" else DUCK_DAY
     sql = re.sub(r"READ\[(\w+)\]", lambda m: f"({text_of(m[1], dialect)})", TEXT[view])
+    each = "explode(sequence({}, {}))" if dialect == "spark" else "unnest(range({}, {} + 1))"
+    sql = re.sub(r"EACH\[([^;\]]+);([^\]]+)\]", lambda m: each.format(m[1], m[2]), sql)
+    clean = "regexp_replace({}, '[^ACGTN]', 'N')" if dialect == "spark" else "regexp_replace({}, '[^ACGTN]', 'N', 'g')"
+    sql = re.sub(r"CLEAN\[([^\]]+)\]", lambda m: clean.format(m[1]), sql)
     return re.sub(r"DAY\[(\w+)\]", lambda m: day.format(m[1]), sql)
 
 
@@ -60,7 +84,7 @@ def view(spark, sf_dir: str, name: str):
 
 def duck(sql: str) -> str:
     """`sql` with the views that it names as common table expressions of DuckDB."""
-    used = [v for v in TEXT if v in sql]
+    used = [v for v in TEXT if re.search(rf"\b{v}\b", sql)]
     with_ = ", ".join(f"{v} AS ({text_of(v, 'duck')})" for v in used)
     if not used:
         return sql

@@ -24,14 +24,35 @@ def idxstats(spark, sf_dir):
     return targets.join(own, "tid", "left").na.fill(0)
 
 
+def with_mates(spark, sf_dir):
+    """Reads with their mate's chromosome, null without a mate."""
+    own = reads(spark, sf_dir)
+    mate = own.select("template_id", F.col("read_id").alias("mate"), F.col("tid").alias("mtid"))
+    return own.join(mate, (own["template_id"] == mate["template_id"]) & (own["read_id"] != mate["mate"]), "left").drop(mate["template_id"])
+
+
+def depth_spans(runs):
+    """Depth runs with `until`, the next position of change; that of the last in a stretch is the next stretch's first."""
+    cut = runs.withColumn("stretch", F.floor(F.col("pos") / rd.STRIDE))
+    firsts = cut.groupBy("tid", "stretch").agg(F.min("pos").alias("first"))
+    after = firsts.select("tid", "stretch", F.lead("first").over(Window.partitionBy("tid").orderBy("stretch")).alias("later"))
+    nxt = F.lead("pos").over(Window.partitionBy("tid", "stretch").orderBy("pos"))
+    return cut.withColumn("nxt", nxt).join(after, ["tid", "stretch"]).select("tid", "pos", "depth", F.coalesce("nxt", "later").alias("until"))
+
+
+def coverage(own):
+    spans = depth_spans(rd.depth_runs(own)).where("until is not null and depth > 0")
+    return spans.groupBy(F.least("depth", F.lit(60)).cast("int").alias("depth")).agg(F.sum(F.col("until") - F.col("pos")).cast("long").alias("bases"))
+
+
 def coverage_histogram(spark, sf_dir):
-    from pyspark.sql import Window
+    return coverage(rd.usable(reads(spark, sf_dir)))
 
-    runs = rd.depth_runs(rd.usable(reads(spark, sf_dir)))
-    nxt = F.lead("pos").over(Window.partitionBy("tid", F.floor(F.col("pos") / rd.STRIDE)).orderBy("pos"))
-    return runs.withColumn("until", nxt).where("until is not null and depth > 0").groupBy(F.least("depth", F.lit(60)).cast("int").alias("depth")).agg(
-        F.sum(F.col("until") - F.col("pos")).cast("long").alias("bases")
-    )
+
+def physical_coverage(spark, sf_dir):
+    """Depth of what lies between the reads of a pair, from where the first ends to where the second begins."""
+    gaps = pairs(spark, sf_dir).where("r1 > f2").select("tid", F.col("f2").alias("pos"), (F.col("r1") - F.col("f2")).alias("l_qseq"))
+    return rd.depth_runs(gaps).select("tid", "pos", F.col("depth").cast("long").alias("depth"))
 
 
 def region_sums(spark, sf_dir, flank: int = 0):
@@ -97,31 +118,6 @@ def clip_band_join(spark, sf_dir):
     return iv.band_join(left, right, 5).select("tid", "read_id", "other")
 
 
-def evidence_scores(spark, sf_dir):
-    """Scores of duplicated and deleted calls from sums of bases inside and in both flanks."""
-    cnv = view(spark, sf_dir, "fx_cnv").where("type <> 'VAR' and p2 - p1 >= 20").select("tid", "p1", "p2", "type").distinct()
-    runs = rd.usable(reads(spark, sf_dir)).select("tid", F.col("pos").alias("q1"), (F.col("pos") + F.col("l_qseq") - 1).alias("q2"))
-    span = cnv.withColumns({"a": F.col("p1"), "b": F.col("p2")}).withColumns({"p1": F.col("a") - 100, "p2": F.col("b") + 100})
-    met = iv.overlap_join(span, runs)
-    part = lambda x, y: F.sum(F.greatest(F.lit(0), iv.overlap(x, y, F.col("q1"), F.col("q2"))))
-    a, b = F.col("a"), F.col("b")
-    sums = met.groupBy("tid", "a", "b", "type").agg(
-        part(a, b).alias("inside"), part(a - 100, a - 1).alias("left"), part(b + 1, b + 100).alias("right"), F.count("*").alias("reads")
-    )
-    mean = lambda c, n: F.floor(c / n).cast("int")
-    i, lo, hi = mean(F.col("inside"), b - a + 1), mean(F.col("left"), 100), mean(F.col("right"), 100)
-    return sums.select("tid", a.alias("p1"), b.alias("p2"), "type", i.alias("inside"), lo.alias("lft"), hi.alias("rgt"),
-                       rd.depth_scores(F.col("type"), i, lo, hi).alias("rdscore"), rd.pair_scores(F.col("type"), F.col("reads"), F.lit(20)).alias("rpscore"))
-
-
-def strong_weak_router(spark, sf_dir):
-    s = evidence_scores(spark, sf_dir)
-    kind = F.when(F.col("rdscore") + F.col("rpscore") >= 2, F.when(F.least("lft", "rgt") < 10, "weak").otherwise("strong")).when(
-        F.col("rdscore") + F.col("rpscore") == 0, "none"
-    ).otherwise("weak")
-    return s.groupBy(kind.alias("strength"), "type").agg(F.count("*").alias("n"))
-
-
 def call_format(spark, sf_dir):
     size = F.when(F.col("type") == "DUP", F.col("p1") - F.col("p2")).otherwise(F.col("p2") - F.col("p1"))
     line = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("tid") + 1), F.col("p1") + 1, F.col("p2") + 1, "type", size)
@@ -148,12 +144,13 @@ def pick(f, *cols):
 
 
 QUERIES = {
-    "flagstat": lambda s, d: rd.flagstat(reads(s, d)),
+    "flagstat": lambda s, d: rd.flagstat(with_mates(s, d)),
     "idxstats": idxstats,
     "depth_filter": lambda s, d: rd.usable(reads(s, d), 10).select("read_id"),
     "view_filter": lambda s, d: rd.view_filter(reads(s, d), 20, 1, 1280).select("read_id", "flag"),
     "depth_runs": lambda s, d: rd.depth_runs(rd.usable(reads(s, d))).select("tid", "pos", F.col("depth").cast("long").alias("depth")),
     "coverage_histogram": coverage_histogram,
+    "physical_coverage": physical_coverage,
     "bedcov": region_sums,
     "flank_depth": lambda s, d: region_sums(s, d, 50),
     "low_mapq_fraction": low_mapq_fraction,
@@ -163,29 +160,17 @@ QUERIES = {
     "pair_gap_sessions": pair_gap_sessions,
     "pair_leader_clusters": pair_leader_clusters,
     "break_point_merge": break_point_merge,
-    "rmdup_se": lambda s, d: rd.dedup_single(rd.usable(reads(s, d), mask=772)).select("read_id"),
-    "rmdup_pe": lambda s, d: rd.dedup_pairs(pairs(s, d)).select("template_id", "copies"),
+    "rmdup_se": lambda s, d: rd.dedup_single(rd.usable(reads(s, d), mask=772).withColumns({"quality": F.expr("read_id * 31 % 97"), "library": F.expr("template_id % 3")}), "library").select("read_id"),
+    "rmdup_pe": lambda s, d: rd.dedup_pairs(
+        view(s, d, "fx_mates").select("tid", "f_pos", "isize", "template_id", F.expr("f_id * 31 % 97").alias("quality"), F.expr("template_id % 3").alias("library")), "library"
+    ).select("template_id", "copies"),
     "clip_band_join": clip_band_join,
-    "evidence_scores": evidence_scores,
-    "strong_weak_router": strong_weak_router,
     "call_format": call_format,
     "systematic_sample": systematic_sample,
     "systematic_sample_whole": systematic_sample_whole,
 }
 
 GOOD = "(flag // 4) % 2 = 0 AND (flag // 256) % 2 = 0 AND (flag // 512) % 2 = 0 AND (flag // 1024) % 2 = 0"
-SPANS = f"""WITH own AS (SELECT tid, pos AS q1, pos + l_qseq - 1 AS q2 FROM fx_read WHERE {GOOD}),
-  calls AS (SELECT DISTINCT tid, p1, p2, type FROM fx_cnv WHERE type <> 'VAR' AND p2 - p1 >= 20),
-  met AS (SELECT c.tid, p1, p2, type, greatest(0, least(p2, q2) - greatest(p1, q1) + 1) AS i, greatest(0, least(p1 - 1, q2) - greatest(p1 - 100, q1) + 1) AS l,
-    greatest(0, least(p2 + 100, q2) - greatest(p2 + 1, q1) + 1) AS r FROM calls c JOIN own o ON c.tid = o.tid AND p1 - 100 <= q2 AND q1 <= p2 + 100),
-  sums AS (SELECT tid, p1, p2, type, CAST(floor(sum(i) / (p2 - p1 + 1)) AS INT) AS inside, CAST(floor(sum(l) / 100) AS INT) AS lft, CAST(floor(sum(r) / 100) AS INT) AS rgt,
-    count(*) AS reads FROM met GROUP BY tid, p1, p2, type),
-  scored AS (SELECT tid, p1, p2, type, inside, lft, rgt, CASE WHEN least(lft, rgt) < 8 THEN 0 WHEN type = 'DEL' THEN
-      CASE WHEN inside < least(lft, rgt) / 5 THEN 4 WHEN inside < least(lft, rgt) * 5 / 9 THEN 3 WHEN inside < least(lft, rgt) * 2 / 3 THEN 2 WHEN inside < least(lft, rgt) * 3 / 4 THEN 1 ELSE 0 END
-    ELSE CASE WHEN inside > greatest(lft, rgt) * 2 THEN 4 WHEN inside > greatest(lft, rgt) * 3 / 2 THEN 3 WHEN inside > greatest(lft, rgt) * 4 / 3 THEN 2 WHEN inside > greatest(lft, rgt) * 5 / 4 THEN 1 ELSE 0 END END AS rdscore,
-    CASE WHEN reads <= 4 THEN 0 WHEN type = 'DEL' THEN CASE WHEN reads > 15 THEN 4 WHEN reads > 40.0 / 3 THEN 3 WHEN reads > 10 THEN 2 WHEN reads > 20.0 / 3 THEN 1 ELSE 0 END
-    ELSE CASE WHEN reads > 7.5 THEN 4 WHEN reads > 20.0 / 3 THEN 3 WHEN reads > 5 THEN 2 WHEN reads > 10.0 / 3 THEN 1 ELSE 0 END END AS rpscore FROM sums)
-"""
 EVENTS = f"""WITH ev AS (SELECT tid, pos, 1 AS d FROM fx_read WHERE {GOOD} UNION ALL SELECT tid, pos + l_qseq, -1 FROM fx_read WHERE {GOOD}),
   ch AS (SELECT tid, pos, sum(d) AS d FROM ev GROUP BY tid, pos HAVING sum(d) <> 0),
   runs AS (SELECT tid, pos, CAST(sum(d) OVER (PARTITION BY tid ORDER BY pos) AS BIGINT) AS depth, lead(pos) OVER (PARTITION BY tid ORDER BY pos) AS until FROM ch)
@@ -202,9 +187,12 @@ def has(v: int) -> str:
 
 
 ORACLES = {
-    "flagstat": duck(f"""SELECT {has(512)} AS failed, count(*) AS total, count(*) FILTER ({has(256)}) AS secondary, count(*) FILTER ({has(1024)}) AS duplicates,
+    "flagstat": duck(f"""WITH m AS (SELECT r.*, o.tid AS mtid FROM fx_read r LEFT JOIN fx_read o ON r.template_id = o.template_id AND r.read_id <> o.read_id)
+      SELECT {has(512)} AS failed, count(*) AS total, count(*) FILTER ({has(256)}) AS secondary, count(*) FILTER ({has(1024)}) AS duplicates,
       count(*) FILTER (NOT {has(4)}) AS mapped, count(*) FILTER ({has(1)}) AS paired, count(*) FILTER ({has(1)} AND {has(64)}) AS read1, count(*) FILTER ({has(1)} AND {has(128)}) AS read2,
-      count(*) FILTER ({has(1)} AND {has(2)} AND NOT {has(4)}) AS proper, count(*) FILTER ({has(1)} AND {has(8)} AND NOT {has(4)}) AS singletons FROM fx_read GROUP BY 1"""),
+      count(*) FILTER ({has(1)} AND {has(2)}) AS proper, count(*) FILTER ({has(1)} AND NOT {has(4)} AND NOT {has(8)}) AS both_mapped, count(*) FILTER ({has(1)} AND {has(8)} AND NOT {has(4)}) AS singletons,
+      count(*) FILTER ({has(1)} AND NOT {has(4)} AND NOT {has(8)} AND mtid IS DISTINCT FROM tid) AS mate_elsewhere,
+      count(*) FILTER ({has(1)} AND NOT {has(4)} AND NOT {has(8)} AND mtid IS DISTINCT FROM tid AND mapq >= 5) AS mate_elsewhere_q5 FROM m GROUP BY 1"""),
     "idxstats": duck(f"""SELECT CAST(t.range AS INT) AS tid, count(read_id) FILTER (NOT {has(4)}) AS mapped, count(read_id) FILTER ({has(4)}) AS unmapped
       FROM range(24) t LEFT JOIN fx_read r ON r.tid = t.range GROUP BY 1"""),
     "depth_filter": duck(f"SELECT read_id FROM fx_read WHERE {GOOD} AND mapq >= 10"),
@@ -223,14 +211,14 @@ ORACLES = {
       s AS (SELECT tid, f2, r1, CAST(sum(CASE WHEN gap IS NULL OR gap > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY f2) AS BIGINT) AS session FROM p)
       SELECT tid, session, count(*) AS n, max(f2) AS f2, min(r1) AS r1 FROM s GROUP BY tid, session"""),
     "break_point_merge": duck("SELECT tid, f2, r1, count(*) AS n, CAST(sum(abs(isize) % 7) AS BIGINT) AS ed FROM fx_pair GROUP BY tid, f2, r1"),
-    "rmdup_se": duck(f"""WITH r AS (SELECT read_id, row_number() OVER (PARTITION BY tid, {has(16)}, CASE WHEN {has(16)} THEN pos + l_qseq ELSE pos END ORDER BY mapq DESC, read_id) AS k
+    "rmdup_se": duck(f"""WITH r AS (SELECT read_id, row_number() OVER (PARTITION BY tid, template_id % 3, {has(16)}, CASE WHEN {has(16)} THEN pos + l_qseq ELSE pos END ORDER BY read_id * 31 % 97 DESC, read_id) AS k
       FROM fx_read WHERE NOT {has(4)} AND NOT {has(256)} AND NOT {has(512)}) SELECT read_id FROM r WHERE k = 1"""),
-    "rmdup_pe": duck("SELECT min(template_id) AS template_id, count(*) AS copies FROM fx_pair GROUP BY tid, f1, isize"),
+    "rmdup_pe": duck("""WITH p AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY tid, f_pos, isize, template_id % 3) AS n FROM fx_mates
+      WINDOW w AS (PARTITION BY tid, f_pos, isize, template_id % 3 ORDER BY f_id * 31 % 97 DESC, template_id)) SELECT template_id, CASE WHEN isize > 0 THEN n ELSE 1 END AS copies FROM p WHERE k = 1 OR isize <= 0"""),
+    "physical_coverage": duck("""WITH ev AS (SELECT tid, f2 AS pos, 1 AS d FROM fx_pair WHERE r1 > f2 UNION ALL SELECT tid, r1, -1 FROM fx_pair WHERE r1 > f2), ch AS (SELECT tid, pos, sum(d) AS d FROM ev GROUP BY tid, pos HAVING sum(d) <> 0)
+      SELECT tid, pos, CAST(sum(d) OVER (PARTITION BY tid ORDER BY pos) AS BIGINT) AS depth FROM ch"""),
     "clip_band_join": duck(f"""WITH g AS (SELECT * FROM fx_read WHERE {GOOD}) SELECT a.tid, a.read_id, b.read_id AS other FROM g a JOIN g b ON a.tid = b.tid AND abs(a.pos - b.pos) <= 5
       WHERE (a.flag // 16) % 2 = 0 AND (b.flag // 16) % 2 = 1"""),
-    "evidence_scores": duck(SPANS + "SELECT * FROM scored"),
-    "strong_weak_router": duck(SPANS + """SELECT CASE WHEN rdscore + rpscore >= 2 THEN CASE WHEN least(lft, rgt) < 10 THEN 'weak' ELSE 'strong' END WHEN rdscore + rpscore = 0 THEN 'none' ELSE 'weak' END AS strength,
-      type, count(*) AS n FROM scored GROUP BY 1, 2"""),
     "call_format": duck("""SELECT DISTINCT concat_ws(chr(9), 'chr' || (tid + 1), p1 + 1, p2 + 1, type, CASE WHEN type = 'DUP' THEN p1 - p2 ELSE p2 - p1 END) AS line FROM fx_cnv"""),
     "systematic_sample_whole": duck("""SELECT tid, pos, read_id FROM (SELECT tid, pos, read_id, row_number() OVER (PARTITION BY tid ORDER BY pos, read_id) AS k FROM fx_read) WHERE k % 3 = 0"""),
     "systematic_sample": duck("""WITH g AS (SELECT tid, pos, count(*) AS here, min(read_id) AS read_id FROM fx_read GROUP BY tid, pos),

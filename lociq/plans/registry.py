@@ -1,6 +1,7 @@
 """The registered queries and their SQL."""
 
-from lociq.plans import cohort, formats, reads, sequences, variants
+from lociq.plans import bases, calling, cohort, formats, reads, sequences, variants, variation
 
-QUERIES = {**cohort.QUERIES, **formats.QUERIES, **reads.QUERIES, **sequences.QUERIES, **variants.QUERIES}
-ORACLES = {**cohort.ORACLES, **formats.ORACLES, **reads.ORACLES, **sequences.ORACLES, **variants.ORACLES}
+PARTS = (bases, calling, cohort, formats, reads, sequences, variants, variation)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
