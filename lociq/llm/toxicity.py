@@ -103,11 +103,15 @@ def half_of(doc_id: str) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(2)).cast("int")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, toxic, half, text of at most `most` labelled documents of each class whose fold isn't 0."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic (0 or 1) of the labelled documents whose fold isn't 0."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.where("toxic is not null and doc_id is not null").where(fold != 0)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
+def training_rows(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """doc_id, toxic, half, text of at most `most` documents of each class."""
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [known.where(F.col("toxic") == c).orderBy(*order).limit(most) for c in (0, 1)]
     # At most 2 * most rows of two numbers: the bound of the broadcast.
@@ -153,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> Model
 
     What the driver gets is bounded by the labelled sample: its words, and two numbers for each of its documents.
     """
-    rows = training_rows(docs, labels, most)
+    known = known_labels(labels)
+    rows = training_rows(docs, known, most)
     counts = rows.mapInPandas(count_words, "word binary, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS])
     table = counts.where(" + ".join(COUNTS) + f" >= {LEAST_DOCS}").orderBy("word").toArrow()
     words = table["word"].to_pylist()
@@ -170,7 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_PER_CLASS) -> Model
     for m in unseen:
         m.lam, m.k = lam, k
     got = measured(rows, unseen)
-    coef = logistic(features(got["best"].to_numpy(), got["total"].to_numpy()), (got["toxic"].to_numpy() > 0).astype(float))
+    # The bound may cut one class more than the other; the curve is that of their shares among all labelled documents.
+    toxic = got["toxic"].to_numpy() > 0
+    share = known.agg(F.avg("toxic")).first()[0]
+    weight = np.where(toxic, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
+    coef = logistic(features(got["best"].to_numpy(), got["total"].to_numpy()), toxic.astype(float), weight)
     return Model(every[0], DRIFT, lam, k, coef.tolist())
 
 
@@ -226,13 +235,13 @@ def segment_rate(weight: np.ndarray, share: np.ndarray) -> float:
     return lo
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Coefficients by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Coefficients by Newton's method, each row as often as its weight says."""
     b = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        g = x.T @ (y - p) - ridge * b
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
+        g = x.T @ (weight * (y - p)) - ridge * b
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
         d = np.linalg.solve(h, g)
         b = b + d
         if np.abs(d).max() < 1e-8:
