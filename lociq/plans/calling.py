@@ -89,12 +89,13 @@ def clipped_reads(calls, edges, at: str, name: str):
 
 def evidence(spark, sf_dir):
     calls = candidates(spark, sf_dir)
-    s = steps(spark, sf_dir)
-    all_ = calls.join(dp.flank_means(flank_width(calls), s).drop("dx"), calls.columns).join(dp.step_means(calls, s), calls.columns).join(pair_evidence(spark, sf_dir), calls.columns)
-    ends = dp.bases_before(calls, s, {"f2_at": F.col("f2"), "r1_at": F.col("r1")}).select(*calls.columns, F.col("f2_at_depth").alias("f2_depth"), F.col("r1_at_depth").alias("r1_depth"))
+    keys = calls.columns
+    # All depths of a call from one pass over its places.
+    found = dp.bases_before(flank_width(calls), steps(spark, sf_dir), dp.flank_places() | dp.step_places() | {"f2_at": F.col("f2"), "r1_at": F.col("r1")})
+    depths = found.select(*keys, *dp.flank_columns(), *dp.step_columns(), F.col("f2_at_depth").alias("f2_depth"), F.col("r1_at_depth").alias("r1_depth"))
     ms, sm = clip_edges(spark, sf_dir)
     clipped = clipped_reads(clipped_reads(calls, ms, "f2", "f2_sr"), sm, "r1", "r1_sr")
-    return all_.join(ends, calls.columns).join(clipped, calls.columns).withColumn("ms_ed", (F.col("f2") + F.col("r1")) % 40)
+    return depths.join(pair_evidence(spark, sf_dir), keys).join(clipped, keys).withColumn("ms_ed", (F.col("f2") + F.col("r1")) % 40)
 
 
 SCORES = ("rpscore", "rdscore", "ddscore", "srscore")
