@@ -17,4 +17,9 @@ QUERIES = {
     "op10_toxicity": toxicity.op10,
 }
 
-ORACLES = {"op3_substring_dedup": substrings.ORACLE, "op4_decontamination": contamination.ORACLE}
+ORACLES = {
+    "op3_substring_dedup": substrings.ORACLE,
+    "op4_decontamination": contamination.ORACLE,
+    "op8_secret_scan": secrets.ORACLE,
+    "op9_jaccard_join": jaccard.ORACLE,
+}

@@ -94,3 +94,29 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return findings_by_path(docs, digested).withColumnRenamed("path", "doc_id").select(
         "doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "blob"
     )
+
+
+def in_sql() -> str:
+    """The query for DuckDB, whose expressions have no lookaround: a boundary of words does the same for FORGE, and runs of HEX are whole anyhow."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    names = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = rf"""(?:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+    kinds = {
+        "assign": (assign, f"length(regexp_extract(m[i], '{assign}', 1)) >= 6"), "access": (r"AKIA[A-Z0-9]+", "length(m[i]) >= 20"), "hex": (r"[0-9a-f]{24,}", "true"),
+        "pem": (PEM, "true"), "forge": (r"\bgh[pousr]_[A-Za-z0-9]{36}\b", "true"),
+    }
+    starts = "coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    found = " UNION ALL ".join(
+        f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, CAST({starts} AS BIGINT) AS s, CAST({starts} + length(m[i]) AS BIGINT) AS e
+        FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM texts)) WHERE {ok}"""
+        for rank, (kind, (p, ok)) in enumerate(kinds.items())
+    )
+    text = "string_agg(concat(kind, ':', s, ':', e), ',' ORDER BY s, rank)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({found}),
+      sums AS (SELECT doc_id, {counts}, {text[:-1]}) FILTER (rank < {len(BASE)}) AS base, {text} AS spans FROM found GROUP BY doc_id)
+      SELECT t.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+      FROM texts t LEFT JOIN sums ON sums.doc_id = t.doc_id"""
+
+
+ORACLE = in_sql()
