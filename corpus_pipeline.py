@@ -1,6 +1,7 @@
 """The corpus pipeline: toxic documents go, near copies go, contaminated documents go, personal data is masked, pieces are made.
 
-Each stage takes all that the one before kept and returns the columns of documents; the last returns pieces.
+Each stage takes all that the one before kept and returns the columns of documents; the last returns pieces. Further
+columns of its input, whatever their names, are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't call toxic; it learns from those of `docs` that labels name."""
+    """Documents that the toxicity model doesn't call toxic; it learns from those of `docs` that labels name.
+
+    Null and empty texts have no toxic passage and stay. Every row is judged by its text, also repeated ones and those
+    without an id; a score of just one half is toxic. Without labelled documents of both classes all stay.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs.select(*COLUMNS), model)
 
@@ -39,12 +44,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words stand in benchmark windows."""
+    """Documents of which less than a twentieth of the words stand in benchmark windows.
+
+    Null and empty texts have no words and stay. Every row is judged by its text, also repeated ones and those without
+    an id; just a twentieth goes. Without benchmark items all stay.
+    """
     return contamination.without_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind.
+
+    Null texts stay null, with no length. Rows are masked each, also repeated ones and those without an id.
+    """
     text = pii.mask(F.col("text"))
     return docs.select("doc_id", text.alias("text"), "lang", "source").select(
         "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")
@@ -52,8 +64,11 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def make_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The best segmentation of each document, how its next best ones differ, and whether decoding gives it back."""
-    return pieces.encode_texts(docs)
+    """The best segmentation of each document, how its next best ones differ, and whether decoding gives it back.
+
+    Null and empty texts have no pieces; repeated rows and those without an id get a row each.
+    """
+    return pieces.encode_texts(docs, model=spark.conf.get(pieces.SETTING, pieces.MODEL))
 
 
 STAGES = [
