@@ -149,18 +149,12 @@ def judge(pages: DataFrame, labelled: DataFrame, support: float = SUPPORT, confi
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """url and bad of the pages that something is known about: the verdict of a listed rule, else their document's label.
+    """url and bad of pages whose document is labelled; the number that ends a url's path names its document.
 
-    The number that ends a url's path names its document; a page is bad if that is toxic or of quality 0.
+    A page is bad if its document is toxic or of quality 0. Verdicts of listed rules are no labels: what they have in
+    common says where the list has rules, not what is bad.
     """
-    rule = longest_rule(host_of(F.col("url")), path_of(F.col("url")))["verdict"]
-    pages = pages.select("url", rule.alias("listed"))
-    listed = pages.where("listed is not null").select("url", (F.col("listed") == "block").cast("int").alias("bad"))
-    return listed.unionByName(document_labels(pages.where("listed is null"), labels))
-
-
-def document_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})/?$", 1).try_cast("bigint")
+    number = F.regexp_extract(path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html?)?/?$", 1).try_cast("bigint")
     own = labels.where("quality is not null or toxic is not null").select(
         "doc_id", ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int").alias("bad")
     )
