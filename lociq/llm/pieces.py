@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SETTING = "spark.lociq.pieces.model"
 #: Added to a merge's rank; frequent pieces differ less than their ranks.
 RANK_OFFSET = 100
-#: Scores below this mark pieces that aren't to be used.
+#: Scores below this mark pieces that aren't to be used; they cost as much as a character that no piece holds.
 NEVER = -1e6
 #: Words known beyond which an encoder starts anew.
 REMEMBERED = 50_000
@@ -76,12 +76,14 @@ def load(path: str = MODEL) -> Vocabulary:
     used = {p: s for p, s in scores.items() if s > NEVER}
     if all(s == int(s) for s in used.values()) and len(set(used.values())) == len(used):
         scores |= {p: -math.log(RANK_OFFSET - s) for p, s in used.items()}
+    lowest = min(s for s in scores.values() if s > NEVER) - 10
+    scores = {p: max(s, lowest) for p, s in scores.items()}
     if any(MARK in p.lstrip(MARK) for p in ids):
         raise ValueError("a piece holds the word mark after other characters; words can't be searched apart")
     if min(bytes_) < 0:
         raise ValueError("the vocabulary has no byte pieces")
     lone = "".join(c for c in "\n\t\r" if not any(c in p for p in ids))
-    return Vocabulary(ids, scores, texts, bytes_, max(map(len, ids)), min(x for x in scores.values() if x > NEVER) - 10, lone, {b: i for i, b in enumerate(bytes_)})
+    return Vocabulary(ids, scores, texts, bytes_, max(map(len, ids)), lowest, lone, {b: i for i, b in enumerate(bytes_)})
 
 
 def best_paths(arcs: list[list[tuple]], n: int) -> list[tuple[float, list]]:
