@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociq.llm import contamination, fingerprint, jaccard, lm, pieces, pii, secrets, substrings, toxicity, urls
+from lociq.llm import contamination, fingerprint, jaccard, lm, mixing, pieces, pii, secrets, substrings, toxicity, urls
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8,
     "op9_jaccard_join": jaccard.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_source_mixing": mixing.op11,
 }
 
 ORACLES = {
