@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociq.llm import contamination, fingerprint, jaccard, lm, mixing, pieces, pii, secrets, substrings, toxicity, turns, urls
+from lociq.llm import contamination, fingerprint, jaccard, lm, mixing, phrases, pieces, pii, secrets, substrings, toxicity, turns, urls
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9,
     "op10_toxicity": toxicity.op10,
     "op11_source_mixing": mixing.op11,
+    "op12_collocations": phrases.op12,
     "op13_conversation_repair": turns.op13,
 }
 
@@ -24,4 +25,5 @@ ORACLES = {
     "op4_decontamination": contamination.ORACLE,
     "op8_secret_scan": secrets.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op12_collocations": phrases.ORACLE,
 }
