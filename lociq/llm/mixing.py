@@ -9,9 +9,9 @@ for each source:
 2. Newton steps: each is one aggregation of the cells, which gives every source's words and their slope at its present
    multiplier. A step that leaves the interval known to hold the solution becomes a bisection. Sums are of decimals, so
    they don't depend on the order of rows and reruns agree.
-3. Rates become copies: the cells of a source pass in descending size, each takes the number of copies nearest to what
-   it and the cells before it are short of. What is missing in the end is less than half of the smallest documents,
-   where the limits of `most` copies leave room for it.
+3. Rates become copies: the cells of a source pass in descending size, each takes a number of copies next to what it
+   and the cells before it are short of, so that little more than half of the smallest document is missing in the
+   end, where documents that small and the limit of `most` copies leave room for it.
 4. The documents of a cell share its copies by rank of a hash of their id; ranks are those of a part of the cell plus
    the number of documents in the parts before it, so a large cell is never in one task.
 """
@@ -117,15 +117,24 @@ def tilt(cells: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def rounded(most: int):
-    """The copies of each cell of one source; a source has fewer cells than the root of twice its words."""
+    """The copies of each cell of one source; a source has fewer cells than the root of twice its words.
+
+    A cell takes the number below or above what is wanted so far, whichever the smaller cells can make up for better;
+    of both, if they can, the nearer.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size", ascending=False, ignore_index=True)
+        after = lambda c: c[::-1].cumsum()[::-1] - c
+        more, room = after(pdf["wanted"]).tolist(), after(most * pdf["docs"] * pdf["size"]).tolist()
         carry, out = 0.0, []
-        for size, n, words in zip(pdf["size"].tolist(), pdf["docs"].tolist(), pdf["wanted"].tolist(), strict=True):
+        for size, n, words, m, r in zip(pdf["size"].tolist(), pdf["docs"].tolist(), pdf["wanted"].tolist(), more, room, strict=True):
             carry += words
-            copies = min(max(int(carry / size + 0.5), 0), most * n)
-            carry -= copies * size
+            some = {min(max(int(carry // size) + up, 0), most * n) for up in (0, 1)}
+            off = {c: carry - c * size for c in some}
+            missed = {c: round(max(0.0, -o - m, o - (r - m)), 3) for c, o in off.items()}
+            copies = min(some, key=lambda c: (missed[c], abs(off[c]), c))
+            carry = off[copies]
             out.append(copies)
         return pdf[["key", "size"]].assign(each=np.array(out, np.int64) // pdf["docs"], rest=np.array(out, np.int64) % pdf["docs"])
 
