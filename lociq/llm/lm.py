@@ -10,6 +10,7 @@ driver sees for the weights is a histogram of bounded size.
 from __future__ import annotations
 
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,14 @@ from lociq.llm.words import LOWER, WordHashes, mixed
 
 FOLDS, HELD_OUT = 5, 1
 END, START = np.uint64(0x5EED0E4D0E4D5EED), np.uint64(0x5EED57A257A25EED)
-#: Context buckets: 0, 1, 2-3, 4-7, ...
-BUCKETS = 34
+#: Context buckets: 0, 1, 2-3, 4-7, ... up to all counts of 64 bits.
+BUCKETS = 65
 #: Histogram bins for each doubling of a count or ratio, and their number.
-FINE, BINS = 2, 68
+FINE, BINS = 2, 130
+#: Types are added up in shares of one over this; as many shares as 10 ** 19 may be off by less than one, altogether by less than half a type.
+SHARES = 10**20
 DOCS = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, types double, "
+    "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, types decimal(38,0), "
     "context binary, single binary, pair binary, cells binary"
 )
 
@@ -38,7 +41,7 @@ def crc_fold(ids: np.ndarray) -> np.ndarray:
 
 def bucket_of(c: np.ndarray) -> np.ndarray:
     """0 for 0, else one more than the whole part of the binary logarithm."""
-    return np.where(c > 0, np.log2(np.maximum(c, 1)).astype(np.int64) + 1, 0)
+    return np.where(c > 0, np.frexp(np.maximum(c, 1).astype(np.float64))[1], 0).astype(np.int64)
 
 
 class Block:
@@ -94,6 +97,13 @@ def held_out_cells(context: np.ndarray, single: np.ndarray, pair: np.ndarray) ->
     return squeezed(out.tobytes())
 
 
+def type_shares(token: np.ndarray, total: np.ndarray) -> int:
+    """What a block's training tokens are of their types, in SHARES: every type is the sum of its tokens' shares."""
+    _, first, own = np.unique(token, return_index=True, return_counts=True)
+    pairs, n = np.unique(np.stack([own, total[first]]), axis=1, return_counts=True)
+    return sum(k * (SHARES * o // t) for k, o, t in zip(n.tolist(), *pairs.tolist(), strict=True))
+
+
 def doc_rows(ids, texts, totals):
     b = Block(ids, texts)
     keys = b.keys()
@@ -105,17 +115,15 @@ def doc_rows(ids, texts, totals):
     context[1:] = single[:-1]
     context[b.starts] = count(mixed(np.array([START])))[0]
     logs = np.log10(single + 0.5)
-    types = 1 / np.maximum(single, 1)
     out = []
     for i, (doc_id, s, n) in enumerate(zip(ids.tolist(), b.starts.tolist(), b.sizes.tolist(), strict=True)):
         part = slice(s, s + n)
-        own = bool(b.learned[i])
         out.append(
-            (doc_id, not own, n, int((single[part] > 0).sum()), float(logs[part].sum()), float(types[part].sum()) if own else 0.0,
+            (doc_id, not bool(b.learned[i]), n, int((single[part] > 0).sum()), float(logs[part].sum()), Decimal(0),
              packed(context[part][:1]), packed(single[part]), packed(pair[part]), None)
         )
     of = b.learned[b.doc]
-    out.append((None, None, 0, 0, 0.0, 0.0, None, None, None, held_out_cells(context[of], single[of], pair[of])))
+    out.append((None, None, 0, 0, 0.0, Decimal(type_shares(b.token[of], single[of])), None, None, None, held_out_cells(context[of], single[of], pair[of])))
     return pd.DataFrame(out, columns=[c.split()[0] for c in DOCS.split(", ")])
 
 
@@ -177,9 +185,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     blocks = blocks_of(docs)
     told = keep(answered(blocks, tallied(docs, keys_of), doc_rows, DOCS))
     rows = told.where("cells is null")
-    # Every type has as many training tokens as its count, so the inverses of the counts add up to the types.
-    n, v = rows.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("types")).first()
-    n, v = int(n or 0), round(v or 0.0)
+    n, v = told.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("types")).first()
+    n, v = int(n or 0), (2 * int(v or 0) + SHARES) // (2 * SHARES)
     cells = (
         told.where("cells is not null").select("cells").mapInPandas(open_cells, "cell long, n double, pair double, single double")
         .groupBy("cell").agg(F.sum("n"), F.sum("pair"), F.sum("single")).orderBy("cell").collect()
