@@ -35,11 +35,18 @@ MARKS = "block long, local binary, marks binary"
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each stretch of a document's words its anchor's place and hash."""
+    """For each stretch of a document's words its anchor's place and hash; of equally low hashes the first counts.
+
+    Stretches are looked at by parts of as many words as PLACE_BITS can number.
+    """
     g = grams(h, ANCHOR)
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    ranked = (mixed(g) & ~low) | (np.arange(len(g), dtype=np.uint64) & low)
-    places = (window_min(ranked, STRETCH) & low).astype(np.int64)
+    size, low = 1 << PLACE_BITS, np.uint64((1 << PLACE_BITS) - 1)
+    found = []
+    for at in range(0, max(1, len(g) - STRETCH + 1), size - STRETCH + 1):
+        part = g[at : at + size]
+        ranked = (mixed(part) & ~low) | np.arange(len(part), dtype=np.uint64)
+        found.append((window_min(ranked, STRETCH) & low).astype(np.int64) + at)
+    places = np.concatenate(found)
     return places, g[places]
 
 
