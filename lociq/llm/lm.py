@@ -14,12 +14,12 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.shared import keep
 from lociq.llm.tally import NO_ID, answered, blocks_of, packed, squeezed, tallied, unpacked, whole
-from lociq.llm.words import LOWER, WordHashes, mixed
+from lociq.llm.words import LOWER, WordHashes, let_go, mixed
 
 FOLDS, HELD_OUT = 5, 1
 END, START = np.uint64(0x5EED0E4D0E4D5EED), np.uint64(0x5EED57A257A25EED)
@@ -29,10 +29,8 @@ BUCKETS = 65
 FINE, BINS = 2, 130
 #: Types are added up in shares of one over this; as many shares as 10 ** 19 may be off by less than one, altogether by less than half a type.
 SHARES = 10**20
-DOCS = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, types decimal(38,0), "
-    "context binary, single binary, pair binary, cells binary"
-)
+#: A block's training tokens, its shares of types, its histogram and what scores of its documents need.
+BLOCKS = "n_tokens long, types decimal(38,0), cells binary, docs binary, single binary, pair binary"
 
 
 def crc_fold(ids: np.ndarray) -> np.ndarray:
@@ -79,52 +77,43 @@ def keys_of(ids, texts):
     return keys, counts
 
 
-def fine_bin(x: np.ndarray) -> np.ndarray:
-    """0 for 0, else by the logarithm of a number of 1 at least."""
-    return np.where(x > 0, 1 + np.minimum(BINS - 2, (FINE * np.log2(np.maximum(x, 1))).astype(np.int64)), 0)
+def fine_bin(log: np.ndarray) -> np.ndarray:
+    """By the natural logarithm of a number of 1 at least."""
+    return 1 + np.minimum(BINS - 2, (FINE / np.log(2) * log + 1e-9).astype(np.int64))
 
 
 def held_out_cells(context: np.ndarray, single: np.ndarray, pair: np.ndarray) -> bytes:
     """Histogram of training tokens, each deleted from the counts: cell, number, sums of the logarithms of c(h w) / c(h) and c(w)."""
     h, w, hw = context - 1, single - 1, pair - 1
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cell = (bucket_of(h) * BINS + fine_bin(np.where(hw > 0, h / np.maximum(hw, 1), 0))) * BINS + fine_bin(w)
-        cells, at = np.unique(cell, return_inverse=True)
-        log_pair = np.where(hw > 0, np.log(np.maximum(hw, 1) / np.maximum(h, 1)), 0)
-    out = np.column_stack(
-        [cells, np.bincount(at), np.bincount(at, log_pair), np.bincount(at, np.log(np.maximum(w, 1)))]
-    ).astype(np.float64)
-    return squeezed(out.tobytes())
+    log_h, log_w, log_hw = (np.log(np.maximum(x, 1)) for x in (h, w, hw))
+    two = hw > 0
+    cell = (bucket_of(h) * BINS + np.where(two, fine_bin(log_h - log_hw), 0)) * BINS + np.where(w > 0, fine_bin(log_w), 0)
+    number = np.bincount(cell)
+    cells = np.flatnonzero(number)
+    sums = (np.bincount(cell, x)[cells] for x in (np.where(two, log_hw - log_h, 0), log_w))
+    return squeezed(np.column_stack([cells, number[cells], *sums]).astype(np.float64).tobytes())
 
 
-def type_shares(token: np.ndarray, total: np.ndarray) -> int:
-    """What a block's training tokens are of their types, in SHARES: every type is the sum of its tokens' shares."""
-    _, first, own = np.unique(token, return_index=True, return_counts=True)
-    pairs, n = np.unique(np.stack([own, total[first]]), axis=1, return_counts=True)
-    return sum(k * (SHARES * o // t) for k, o, t in zip(n.tolist(), *pairs.tolist(), strict=True))
+def type_shares(own: np.ndarray, total: np.ndarray) -> int:
+    """What a block's training tokens are of their types, in SHARES, from both numbers of each type: every type is the sum of its tokens' shares."""
+    return sum(SHARES * o // t for o, t in zip(own.tolist(), total.tolist(), strict=True) if o)
 
 
-def doc_rows(ids, texts, totals):
+def block_row(ids, texts, totals):
     b = Block(ids, texts)
     keys = b.keys()
     if len(keys) != len(totals):
         raise RuntimeError("a block's counts aren't complete")
-    count = lambda k: totals[np.searchsorted(keys, k)].astype(np.int64)
-    single, pair = count(b.token), count(b.pair)
+    at = np.searchsorted(keys, b.token)
+    single, pair = totals[at], totals[np.searchsorted(keys, b.pair)]
     context = np.empty_like(single)
     context[1:] = single[:-1]
-    context[b.starts] = count(mixed(np.array([START])))[0]
-    logs = np.log10(single + 0.5)
-    out = []
-    for i, (doc_id, s, n) in enumerate(zip(ids.tolist(), b.starts.tolist(), b.sizes.tolist(), strict=True)):
-        part = slice(s, s + n)
-        out.append(
-            (doc_id, not bool(b.learned[i]), n, int((single[part] > 0).sum()), float(logs[part].sum()), Decimal(0),
-             packed(context[part][:1]), packed(single[part]), packed(pair[part]), None)
-        )
+    context[b.starts] = begin = totals[np.searchsorted(keys, mixed(np.array([START])))][0]
     of = b.learned[b.doc]
-    out.append((None, None, 0, 0, 0.0, Decimal(type_shares(b.token[of], single[of])), None, None, None, held_out_cells(context[of], single[of], pair[of])))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in DOCS.split(", ")])
+    docs = np.stack([ids, ~b.learned, b.sizes, np.full(len(ids), begin)]).astype(np.int64)
+    own = np.bincount(at[of], minlength=len(keys))
+    row = (int(of.sum()), Decimal(type_shares(own, totals)), held_out_cells(context[of], single[of], pair[of]), squeezed(docs.tobytes()), packed(single), packed(pair))
+    return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def open_cells(batches):
@@ -161,16 +150,23 @@ def mixture_weights(cells: np.ndarray, n_tokens: int, n_types: int, steps: int =
 
 
 def scorer(weights: np.ndarray, n_tokens: int, n_types: int):
+    """Rows of the documents of blocks, with their base scores and scores."""
+
     def run(batches):
         for b in batches:
-            scores = []
-            for first, s, p in zip(b["context"], b["single"], b["pair"], strict=True):
-                single, pair = unpacked(s).astype(np.float64), unpacked(p)
-                context = np.concatenate([unpacked(first), single[:-1]])
+            for docs, s, p in zip(b["docs"], b["single"], b["pair"], strict=True):
+                ids, held, sizes, begin = np.frombuffer(whole(docs), np.int64).reshape(4, -1)
+                single, pair = unpacked(s), unpacked(p)
+                starts = np.cumsum(sizes) - sizes
+                context = np.append(0, single[:-1])
+                context[starts] = begin
                 w = weights[bucket_of(context)]
-                p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * single / max(1, n_tokens) + w[:, 2] / (n_types + 1)
-                scores.append(float(np.log10(p).sum()))
-            yield b.drop(columns=["context", "single", "pair"]).assign(score=scores)
+                mixture = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * single / max(1, n_tokens) + w[:, 2] / (n_types + 1)
+                base = np.log10((single + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
+                add = lambda x: np.add.reduceat(x, starts)
+                yield pd.DataFrame({"doc_id": ids, "held_out": held.astype(bool), "n_tokens": sizes, "n_known": add((single > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(mixture))})
+                del single, pair, context, w, mixture, base
+                let_go()
 
     return run
 
@@ -182,22 +178,19 @@ def score_texts(docs: DataFrame) -> DataFrame:
     empty. Null and empty texts are one token, the end. Repeated rows are counted and scored each; further columns
     are ignored; an empty table gives an empty result; without training documents N and V are 0.
     """
-    blocks = blocks_of(docs)
-    told = keep(answered(blocks, tallied(docs, keys_of), doc_rows, DOCS))
-    rows = told.where("cells is null")
-    n, v = told.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("types")).first()
+    told = keep(answered(blocks_of(docs), tallied(docs, keys_of), block_row, BLOCKS))
+    n, v = told.agg(F.sum("n_tokens"), F.sum("types")).first()
     n, v = int(n or 0), (2 * int(v or 0) + SHARES) // (2 * SHARES)
     cells = (
-        told.where("cells is not null").select("cells").mapInPandas(open_cells, "cell long, n double, pair double, single double")
+        told.select("cells").mapInPandas(open_cells, "cell long, n double, pair double, single double")
         .groupBy("cell").agg(F.sum("n"), F.sum("pair"), F.sum("single")).orderBy("cell").collect()
     )
     weights = mixture_weights(np.array(cells, np.float64).reshape(-1, 4), n, v)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
-    out = rows.select("doc_id", "held_out", "n_tokens", "n_known", "log_counts", "context", "single", "pair").mapInPandas(scorer(weights, n, v), schema)
-    base: Column = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = told.select("docs", "single", "pair").mapInPandas(scorer(weights, n, v), schema)
     return out.select(
         F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", "n_known",
-        F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 
