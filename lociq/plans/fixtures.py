@@ -45,6 +45,15 @@ TEXT = {
       SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 60) / 20.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 60) e) c""",
     "fx_dcall": """SELECT tid, CAST(50 * k + 10 AS INT) AS p1, CAST(50 * k + 30 + (k * 7) % 90 AS INT) AS p2, CAST((k + tid) % 5 AS INT) AS rdscore,
       CASE WHEN k % 2 = 0 THEN 'DEL' ELSE 'DUP' END AS type FROM (SELECT tid, EACH[0;CAST(floor((length(seq) - 60) / 50.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 60) e""",
+    # Reads over joins of two places of a contig, clipped at either end, some with a gap or a changed base.
+    "fx_split": """SELECT CAST(tid * 1000000 + k * 8 + i AS BIGINT) AS read_id, tid, CAST(CASE WHEN i = 6 THEN f2 - 39 WHEN i % 2 = 0 THEN f2 - a + 1 ELSE r1 END AS INT) AS pos,
+      CAST((k * 13 + i * 17) % 61 AS INT) AS mapq, CAST(16 * (i % 2) + (CASE WHEN (k * 3 + i) % 23 = 0 THEN 1024 ELSE 0 END) AS INT) AS flag, cigar,
+      CASE WHEN (k + i) % 4 = 0 THEN concat(substr(raw, 1, m), translate(substr(raw, m + 1, 1), 'ACGTN', 'CGTAA'), substr(raw, m + 2)) ELSE raw END AS seq, translate(raw, 'ACGTN', 'I5?+#') AS qual
+      FROM (SELECT *, CAST((k * 7 + i * 5) % 60 AS INT) AS m, CASE WHEN i = 6 THEN '20M2D18M22S' WHEN i = 7 THEN '15S20M3I22M' WHEN i % 2 = 0 THEN concat(a, 'M', 60 - a, 'S') ELSE concat(a, 'S', 60 - a, 'M') END AS cigar,
+        CASE WHEN i = 6 THEN concat(substr(seq, f2 - 38, 20), substr(seq, f2 - 16, 18), substr(seq, r1 + 1, 22)) WHEN i = 7 THEN concat(substr(seq, f2 - 13, 15), substr(seq, r1 + 1, 20), 'ACG', substr(seq, r1 + 21, 22))
+          ELSE concat(substr(seq, f2 - a + 2, a), substr(seq, r1 + 1, 60 - a)) END AS raw
+        FROM (SELECT *, CAST(14 + (i * 9 + k) % 33 AS INT) AS a, CAST(f2 + 30 + (k * 11 + tid) % 60 AS INT) AS r1 FROM (SELECT *, EACH[0;7] AS i, CAST(150 * k + 70 AS INT) AS f2 FROM (
+          SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 300) / 150.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 300) c) d) e) f""",
     # Pairs with both reads' own fields.
     "fx_mates": """SELECT a.template_id, a.tid, a.read_id AS f_id, a.pos AS f_pos, a.l_qseq AS f_len, a.flag AS f_flag, a.mapq AS f_mapq,
       b.read_id AS r_id, b.pos AS r_pos, b.l_qseq AS r_len, b.flag AS r_flag, b.mapq AS r_mapq, b.pos + b.l_qseq - a.pos AS isize
