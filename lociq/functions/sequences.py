@@ -142,8 +142,3 @@ def displacement(seq: str, f2: int, r1: int) -> tuple[int, int]:
     if not (0 < f2 < len(x) and 0 < r1 < len(x)):
         return 0, 0
     return same_run(x[f2 + 1 :], x[r1:]), same_run(x[1 : f2 + 1][::-1], x[1:r1][::-1])
-
-
-@pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("f2", "r1", "right", "left")])))
-def displacements(seq: pd.Series, ends: pd.Series) -> pd.Series:
-    return pd.Series([[(e["f2"], e["r1"], *displacement(s, e["f2"], e["r1"])) for e in es] for s, es in zip(seq, ends, strict=True)])

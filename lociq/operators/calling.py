@@ -222,20 +222,24 @@ BLOCKS = (
     (("un", "sr_count"), "sr_count", True), (("f2_rd", "r1_rd", "rd", "rdscore"), "rdscore", False),
     (("f2_rp", "r1_rp", "frrp", "rpscore"), "rpscore", False), (("f2_sr", "r1_sr", "ms_ed", "srscore"), "srscore", False),
 )
+#: The same with all that a call's line tells.
+FULL_BLOCKS = (
+    (("un", "sr_count", "sr_ed"), "sr_count", True), (("f2_rd", "r1_rd", "rd", "rdscore", "f2_out", "f2_in", "r1_in", "r1_out", "ddscore"), "rdscore", False), *BLOCKS[2:],
+)
 
 
-def without_duplicates(calls: DataFrame) -> DataFrame:
+def without_duplicates(calls: DataFrame, blocks: tuple = BLOCKS) -> DataFrame:
     """One call for each (tid, f2, r1) of several sources (source): of each block of evidence the one with the better score.
 
     Sources are compared one after the other. Equal scores leave a block to the source that won the block before; equal
     counts of split reads to the later source.
     """
-    fields = [f for block, _, _ in BLOCKS for f in block]
+    fields = [f for block, _, _ in blocks for f in block]
     rows = calls.groupBy("tid", "f2", "r1").agg(F.array_sort(F.collect_list(F.struct("source", *fields))).alias("rows"))
 
     def merged(a: Column, b: Column) -> Column:
         first, cols = F.lit(False), [b["source"].alias("source")]
-        for block, score, strict in BLOCKS:
+        for block, score, strict in blocks:
             ahead = a[score] > b[score]
             first = ahead if strict else F.when(a[score] != b[score], ahead).otherwise(first)
             cols += [F.when(first, a[f]).otherwise(b[f]).alias(f) for f in block]

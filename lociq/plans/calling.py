@@ -113,11 +113,6 @@ def sources(spark, sf_dir):
     return ca.assessed(pairs.unionByName(split), LENGTH)
 
 
-def final_calls(spark, sf_dir):
-    calls = ca.without_duplicates(sources(spark, sf_dir))
-    return ca.strength(calls, LENGTH, SD, OVERLAP, CLIP).select("tid", "f2", "r1", "un", "sr_count", "rpscore", "rdscore", "srscore", "strength")
-
-
 def strong_weak_router(spark, sf_dir):
     calls = ca.strength(ca.without_duplicates(sources(spark, sf_dir)), LENGTH, SD, OVERLAP, CLIP)
     return calls.groupBy("strength", F.when(F.col("f2") < F.col("r1"), "DEL").otherwise("DUP").alias("type")).agg(F.count("*").alias("n"))
@@ -134,7 +129,7 @@ def break_point_resolve(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    flank_inside_depth, derivative_depth, pair_evidence, insert_sample_stats, insert_full_stats, evidence_scores, final_calls, strong_weak_router, pair_group_sizes, break_point_resolve,
+    flank_inside_depth, derivative_depth, pair_evidence, insert_sample_stats, insert_full_stats, evidence_scores, strong_weak_router, pair_group_sizes, break_point_resolve,
 )} | {
     "pair_filter": lambda s, d: ca.counts_for_pairs(mated(s, d), 10).select("read_id", "tid"),
     "proper_pair_sample": lambda s, d: ca.proper_pairs(mated(s, d), 10).select("read_id", "tid"),
@@ -225,7 +220,6 @@ ORACLES = {
     "insert_full_stats": duck(f"""WITH {INSERTS}, near_ AS (SELECT tid, x FROM own JOIN sampled USING (tid) WHERE x > insert - 10 * sd AND x < insert + 10 * sd)
       SELECT tid, count(*) AS n, CAST(trunc(avg(x)) AS INT) AS insert, CAST(CASE WHEN stddev_pop(x) < 30 THEN 50 ELSE trunc(stddev_pop(x)) END AS INT) AS sd FROM near_ GROUP BY tid HAVING count(*) > 2"""),
     "evidence_scores": duck(f"{EVIDENCE} SELECT tid, f2, r1, f2_rd, r1_rd, rd, frrp, f2_sr, r1_sr, {', '.join(SCORES)} FROM {scored('ev')}"),
-    "final_calls": duck(f"{BOTH} SELECT tid, f2, r1, un, sr_count, rpscore, rdscore, srscore, strength FROM judged"),
     "strong_weak_router": duck(f"{BOTH} SELECT strength, CASE WHEN f2 < r1 THEN 'DEL' ELSE 'DUP' END AS type, count(*) AS n FROM judged GROUP BY 1, 2"),
     "pair_filter": duck(f"WITH {MATED} SELECT read_id, tid FROM mated WHERE {GOOD} AND mapq >= 10"),
     "proper_pair_sample": duck(f"WITH {MATED} SELECT read_id, tid FROM mated WHERE {GOOD} AND mapq >= 10 AND flag & 2 <> 0"),

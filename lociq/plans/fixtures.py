@@ -54,6 +54,19 @@ TEXT = {
           ELSE concat(substr(seq, f2 - a + 2, a), substr(seq, r1 + 1, 60 - a)) END AS raw
         FROM (SELECT *, CAST(14 + (i * 9 + k) % 33 AS INT) AS a, CAST(f2 + 30 + (k * 11 + tid) % 60 AS INT) AS r1 FROM (SELECT *, EACH[0;7] AS i, CAST(150 * k + 70 AS INT) AS f2 FROM (
           SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 300) / 150.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 300) c) d) e) f""",
+    # Deletions of half of the copies of long contigs, and reads of all kinds around them: cover of depth 15, pairs of which
+    # some span a deletion, and clipped reads over its join.
+    "fx_site": """SELECT tid, k, seq, CAST(1200 * k + 300 AS INT) AS f2, CAST(1200 * k + 601 + (k * 37 + tid) % 150 AS INT) AS r1 FROM (
+      SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 1100) / 1200.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 1200) c""",
+    "fx_cover": """SELECT CAST(tid * 1000000 + j AS BIGINT) AS read_id, tid, CAST(4 * j AS INT) AS pos, CAST((j * 13 + tid * 7) % 61 AS INT) AS mapq, CAST(99 - 16 * (j % 2) AS INT) AS flag,
+      CAST(4 * j + 140 AS INT) AS mpos, 200 AS tlen, '60M' AS cigar, substr(seq, CAST(4 * j + 1 AS INT), 60) AS seq FROM (SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 260) / 4.0) AS INT)] AS j FROM READ[fx_ref] r WHERE length(seq) >= 1200) c
+      WHERE j % 2 = 0 OR NOT (4 * j % 1200 BETWEEN 241 AND 601 + (CAST(floor(4 * j / 1200.0) AS INT) * 37 + tid) % 150)""",
+    "fx_span": """SELECT CAST(tid * 1000000 + 500000 + k * 32 + i AS BIGINT) AS read_id, tid, CAST(CASE WHEN i < 16 THEN CASE WHEN i % 2 = 0 THEN f2 - a + 1 ELSE r1 END WHEN i % 2 = 0 THEN fpos ELSE rpos END AS INT) AS pos,
+      CAST(20 + (k * 13 + i * 17) % 41 AS INT) AS mapq, CAST(CASE WHEN i < 16 THEN 16 * (i % 2) WHEN i % 2 = 0 THEN 97 ELSE 145 END AS INT) AS flag, CAST(CASE WHEN i < 16 THEN -1 WHEN i % 2 = 0 THEN rpos ELSE fpos END AS INT) AS mpos,
+      CAST(CASE WHEN i < 16 THEN 0 WHEN i % 2 = 0 THEN rpos + 60 - fpos ELSE fpos - rpos - 60 END AS INT) AS tlen, CASE WHEN i >= 16 THEN '60M' WHEN i % 2 = 0 THEN concat(a, 'M', 60 - a, 'S') ELSE concat(a, 'S', 60 - a, 'M') END AS cigar,
+      CASE WHEN i < 16 THEN concat(substr(seq, f2 - a + 2, a), substr(seq, r1 + 1, 60 - a)) WHEN i % 2 = 0 THEN substr(seq, fpos + 1, 60) ELSE substr(seq, rpos + 1, 60) END AS seq
+      FROM (SELECT *, CAST(14 + (i * 7 + k) % 33 AS INT) AS a, CAST(f2 - 62 - 5 * CAST(floor(i / 2.0) AS INT) + 40 AS INT) AS fpos, CAST(r1 + 60 - 5 * CAST(floor(i / 2.0) AS INT) + 40 AS INT) AS rpos
+        FROM (SELECT *, EACH[0;31] AS i FROM READ[fx_site] t) d) e""",
     # Pairs with both reads' own fields.
     "fx_mates": """SELECT a.template_id, a.tid, a.read_id AS f_id, a.pos AS f_pos, a.l_qseq AS f_len, a.flag AS f_flag, a.mapq AS f_mapq,
       b.read_id AS r_id, b.pos AS r_pos, b.l_qseq AS r_len, b.flag AS r_flag, b.mapq AS r_mapq, b.pos + b.l_qseq - a.pos AS isize
