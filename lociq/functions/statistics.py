@@ -172,6 +172,8 @@ def allele_counts_posterior(like: np.ndarray, theta: float = 1e-3) -> np.ndarray
 
 #: Parameters of the model of dependent errors: how much errors of one strand depend on each other, and the least weight.
 DEPENDENCE, LEAST_WEIGHT = 0.17, 0.03
+#: Ten over the natural logarithm of ten, as the format rounds it.
+PHRED = 4.343
 
 
 def tail_costs(q: int, n: int) -> np.ndarray:
@@ -185,33 +187,37 @@ def tail_costs(q: int, n: int) -> np.ndarray:
         return -10 / math.log(10) * np.log(np.append(upto[1:], 0.0) / upto)
 
 
+def ranks(codes: np.ndarray) -> np.ndarray:
+    """How many equal codes come before each."""
+    order = np.argsort(codes, kind="stable")
+    first = np.flatnonzero(np.diff(codes[order], prepend=codes[order[:1]] - 1))
+    out = np.empty(len(codes), np.int64)
+    out[order] = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+    return out
+
+
 def base_costs(bases: np.ndarray, costs=tail_costs, alleles: int = 5) -> np.ndarray:
     """Phred-scaled costs of all genotypes (alleles x alleles) from bases (quality, strand, allele), at most 255 of them.
 
-    Bases are taken from the best down. The more of a strand have come with an allele, the less a further one weighs, as
-    errors depend on each other.
+    A genotype pays for the bases that are of neither allele, and for how unlikely the shares of its two alleles are. A
+    base costs by its quality and the number of better ones of its allele; it weighs less for each better one of its
+    allele and strand, as errors depend on each other.
     """
-    n = len(bases)
-    out = np.zeros((alleles, alleles))
-    if not n:
-        return out
-    order = np.lexsort((bases[:, 2], bases[:, 1], bases[:, 0]))[::-1]
-    err, count, seen, kept = np.zeros(alleles), np.zeros(alleles, int), {}, {}
-    for q, strand, b in bases[order].tolist():
-        q = min(63, max(4, q))
-        w = (1 - DEPENDENCE) ** seen.get((strand, b), 0) * (1 - LEAST_WEIGHT) + LEAST_WEIGHT
-        if q not in kept:
-            kept[q] = costs(q, n)
-        err[b] += w * kept[q][count[b]]
-        count[b] += 1
-        seen[strand, b] = seen.get((strand, b), 0) + 1
-    for j in range(alleles):
-        out[j, j] = err.sum() - err[j] if count.sum() - count[j] else 0.0
-        for k in range(j + 1, alleles):
-            both = int(count[j] + count[k])
-            ways = math.lgamma(both + 1) - math.lgamma(count[k] + 1) - math.lgamma(both - count[k] + 1) if both and count[k] else 0.0
-            out[j, k] = out[k, j] = -4.343 * (ways - math.log(2) * both) + err.sum() - err[j] - err[k]
-    return np.maximum(out, 0.0)
+    if not len(bases):
+        return np.zeros((alleles, alleles))
+    quality, strand, allele = bases[np.lexsort((bases[:, 2], bases[:, 1], bases[:, 0]))[::-1]].T
+    levels, level = np.unique(np.clip(quality, 4, 63), return_inverse=True)
+    table = np.stack([costs(int(q), len(bases)) for q in levels])
+    weight = LEAST_WEIGHT + (1 - LEAST_WEIGHT) * (1 - DEPENDENCE) ** ranks(strand * alleles + allele)
+    paid = np.bincount(allele, weight * table[level, ranks(allele)], minlength=alleles)
+    number = np.bincount(allele, minlength=alleles)
+    factorials = np.append(0.0, np.cumsum(np.log(np.arange(1, len(bases) + 1))))
+    both = number[:, None] + number
+    both[np.diag_indices(alleles)] = number
+    ways = factorials[both] - factorials[number][:, None] - factorials[number]
+    mixed = paid.sum() - paid[:, None] - paid + PHRED * (math.log(2) * both - ways)
+    np.fill_diagonal(mixed, np.where(number == len(bases), 0.0, paid.sum() - paid))
+    return np.maximum(mixed, 0.0)
 
 
 def best_segments(steps: np.ndarray, least: int) -> list[tuple[int, int]]:
