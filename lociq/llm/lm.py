@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lociq.llm.shared import keep
 from lociq.llm.tally import NO_ID, answered, blocks_of, packed, squeezed, tallied, unpacked, whole
-from lociq.llm.words import LOWER, WordHashes, let_go, mixed
+from lociq.llm.words import LOWER, WordHashes, distinct, let_go, mixed, places_in
 
 FOLDS, HELD_OUT = 5, 1
 END, START = np.uint64(0x5EED0E4D0E4D5EED), np.uint64(0x5EED57A257A25EED)
@@ -63,7 +63,7 @@ class Block:
 
     def keys(self) -> np.ndarray:
         start = mixed(np.array([START]))
-        return np.unique(np.concatenate([self.token, self.pair, start]))
+        return distinct(np.concatenate([self.token, self.pair, start]))
 
 
 def keys_of(ids, texts):
@@ -104,8 +104,8 @@ def block_row(ids, texts, totals):
     keys = b.keys()
     if len(keys) != len(totals):
         raise RuntimeError("a block's counts aren't complete")
-    at = np.searchsorted(keys, b.token)
-    single, pair = totals[at], totals[np.searchsorted(keys, b.pair)]
+    at = places_in(keys, b.token)
+    single, pair = totals[at], totals[places_in(keys, b.pair)]
     context = np.empty_like(single)
     context[1:] = single[:-1]
     context[b.starts] = begin = totals[np.searchsorted(keys, mixed(np.array([START])))][0]

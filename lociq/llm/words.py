@@ -77,6 +77,20 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting; np.unique without counts goes by a hash table, which takes many times as long."""
+    a = np.sort(a)
+    return a[np.append(np.ones(min(1, len(a)), bool), a[1:] != a[:-1])]
+
+
+def places_in(keys: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Where each of `a` stands among the sorted keys; values are looked up in order, which memory serves faster."""
+    order = np.argsort(a)
+    out = np.empty(len(a), np.int64)
+    out[order] = np.searchsorted(keys, a[order])
+    return out
+
+
 def window_min(a: np.ndarray, w: int) -> np.ndarray:
     """Least of the w values from each position on; len(a) - w + 1 of them, or none."""
     if len(a) < w:
