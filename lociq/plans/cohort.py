@@ -74,55 +74,31 @@ def outside_regions(spark, sf_dir):
     return iv.overlap_join(cnv(spark, sf_dir), windows(spark, sf_dir), how="left_anti")
 
 
-def truth(spark, sf_dir):
-    return cnv(spark, sf_dir).where("sample_no = 1 and (p1 + tid) % 5 = 0").select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2")).distinct()
-
-
-def truth_hits(spark, sf_dir):
-    return iv.overlap_join(cnv(spark, sf_dir).where("sample_no = 2"), truth(spark, sf_dir), how="left_semi")
-
-
-def false_positives(spark, sf_dir):
-    return iv.overlap_join(cnv(spark, sf_dir).where("sample_no = 2 and p2 - p1 > 5"), truth(spark, sf_dir), how="left_anti")
-
-
-def point_in_interval(spark, sf_dir):
-    points = view(spark, sf_dir, "fx_read").select("read_id", "tid", "pos")
-    met = iv.point_in(points, cnv(spark, sf_dir).where("sample_no = 3").select("tid", "p1", "p2", "type"))
-    return met.groupBy("read_id").agg(F.count("*").alias("n"), F.max_by("type", F.struct("p1", "p2", "type")).alias("type"))
-
-
-def annotation_lookup(spark, sf_dir):
-    notes = cnv(spark, sf_dir).where("sample_no = 4").groupBy("tid", "p1", "p2").agg(F.max("type").alias("note"))
-    own = cnv(spark, sf_dir).where("sample_no = 5").select("tid", "p1", "p2", "type")
-    return own.join(notes, ["tid", "p1", "p2"], "left").withColumn("note", F.coalesce("note", F.lit("#")))
-
-
 def whole_truth(spark, sf_dir):
     return cnv(spark, sf_dir).where("sample_no = 1").select("tid", F.col("p1").alias("q1"), F.col("p2").alias("q2")).distinct()
 
 
-def truth_hits_whole(spark, sf_dir):
+def truth_hits(spark, sf_dir):
     """Calls of all samples that overlap one of the first's."""
     return iv.overlap_join(cnv(spark, sf_dir), whole_truth(spark, sf_dir), how="left_semi")
 
 
-def false_positives_whole(spark, sf_dir):
+def false_positives(spark, sf_dir):
     return iv.overlap_join(cnv(spark, sf_dir).where("p2 - p1 > 5"), whole_truth(spark, sf_dir), how="left_anti")
 
 
-def point_in_interval_whole(spark, sf_dir):
+def point_in_interval(spark, sf_dir):
     points = view(spark, sf_dir, "fx_read").select("read_id", "tid", "pos")
     met = iv.point_in(points, cnv(spark, sf_dir))
     return met.groupBy("read_id", "sample_no").agg(F.count("*").alias("n"), F.max_by("type", F.struct("p1", "p2", "type")).alias("type"))
 
 
-def annotation_lookup_whole(spark, sf_dir):
-    """Each call with the note of every other sample at its place."""
+def annotation_lookup(spark, sf_dir):
+    """Each call with the notes of other samples at its place; one of # (of sample 0) where there is none."""
     notes = cnv(spark, sf_dir).groupBy(F.col("sample_no").alias("other"), "tid", "p1", "p2").agg(F.max("type").alias("note"))
-    others = cnv(spark, sf_dir).select(F.col("sample_no").alias("other")).distinct()
-    own = cnv(spark, sf_dir).join(F.broadcast(others), F.col("sample_no") != F.col("other"))
-    return own.join(notes, ["other", "tid", "p1", "p2"], "left").withColumn("note", F.coalesce("note", F.lit("#")))
+    calls = cnv(spark, sf_dir)
+    same = (calls["tid"] == notes["tid"]) & (calls["p1"] == notes["p1"]) & (calls["p2"] == notes["p2"]) & (calls["sample_no"] != notes["other"])
+    return calls.join(notes, same, "left").select(*[calls[c] for c in calls.columns], F.coalesce("other", F.lit(0)).alias("other"), F.coalesce("note", F.lit("#")).alias("note"))
 
 
 def distinct_calls(spark, sf_dir):
@@ -151,15 +127,14 @@ def hwe_chi2(spark, sf_dir):
 
 
 def group_chi2(spark, sf_dir):
-    """2 x 2 test of alternative alleles between two groups at each site."""
-    g = view(spark, sf_dir, "fx_geno").where("grp in ('click', 'view')").groupBy("site").agg(
-        F.sum(F.when(F.col("grp") == "click", F.col("gt")).otherwise(0)).alias("a"), F.sum(F.when(F.col("grp") == "click", 2 - F.col("gt")).otherwise(0)).alias("b"),
-        F.sum(F.when(F.col("grp") == "view", F.col("gt")).otherwise(0)).alias("c"), F.sum(F.when(F.col("grp") == "view", 2 - F.col("gt")).otherwise(0)).alias("d"),
-    )
+    """2 x 2 test of alternative alleles between each group and all others at each site."""
+    g = view(spark, sf_dir, "fx_geno").groupBy("site", "grp").agg(F.sum("gt").alias("a"), F.sum(2 - F.col("gt")).alias("b"))
+    every = g.groupBy("site").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    g = g.join(every, "site").withColumns({"c": F.col("all_a") - F.col("a"), "d": F.col("all_b") - F.col("b")})
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
     below = (a + b) * (c + d) * (a + c) * (b + d)
     chi = F.when(below > 0, (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / below).otherwise(0.0)
-    return g.select("site", "a", "b", "c", "d", F.round(chi, 6).alias("chi2"))
+    return g.select("site", "grp", "a", "b", "c", "d", F.round(chi, 6).alias("chi2"))
 
 
 def running_median(spark, sf_dir):
@@ -173,14 +148,12 @@ def running_median(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     cohort_overlap_matrix, cohort_matrix_pivot, cohort_marginals, reciprocal_overlap_pairs, region_overlap, region_inside, outside_regions, truth_hits,
     false_positives, point_in_interval, annotation_lookup, distinct_calls, greedy_interval_union, allele_counts, hwe_chi2, group_chi2, running_median,
-    truth_hits_whole, false_positives_whole, point_in_interval_whole, annotation_lookup_whole,
 )}
 
 CELLS = """WITH u AS (SELECT DISTINCT tid, p1, p2 FROM fx_cnv WHERE p2 - p1 BETWEEN 3 AND 10000000),
   met AS (SELECT u.tid, u.p1, u.p2, c.sample_no, c.p1 AS q1, c.p2 AS q2, least(c.p2, u.p2) - greatest(c.p1, u.p1) + 1 AS o FROM u JOIN fx_cnv c ON c.tid = u.tid AND c.p1 <= u.p2 AND u.p1 <= c.p2
     WHERE c.p2 - c.p1 BETWEEN 3 AND 10000000 AND least(c.p2, u.p2) - greatest(c.p1, u.p1) + 1 > 0.5 * greatest(c.p2 - c.p1, u.p2 - u.p1)),
   cells AS (SELECT tid, p1, p2, sample_no, arg_max(o, CAST(q1 AS BIGINT) * 100000 + q2) AS cell FROM met GROUP BY tid, p1, p2, sample_no) """
-TRUTH = "(SELECT DISTINCT tid, p1, p2 FROM fx_cnv WHERE sample_no = 1 AND (p1 + tid) % 5 = 0) t WHERE t.tid = c.tid AND c.p1 <= t.p2 AND t.p1 <= c.p2"
 WHOLE_TRUTH = "fx_cnv t WHERE t.sample_no = 1 AND t.tid = c.tid AND c.p1 <= t.p2 AND t.p1 <= c.p2"
 INTO = "fx_region g WHERE g.tid = c.tid AND c.p1 <= g.fin AND g.beg <= c.p2"
 EACH = ", ".join(f"coalesce(max(cell) FILTER (sample_no = {i}), 0) AS s{i}" for i in SAMPLES)
@@ -193,27 +166,22 @@ ORACLES = {
     "region_overlap": duck(f"SELECT * FROM fx_cnv c WHERE EXISTS (SELECT 1 FROM {INTO})"),
     "region_inside": duck("SELECT * FROM fx_cnv c WHERE EXISTS (SELECT 1 FROM fx_region g WHERE g.tid = c.tid AND c.p1 >= g.beg AND c.p2 <= g.fin)"),
     "outside_regions": duck(f"SELECT * FROM fx_cnv c WHERE NOT EXISTS (SELECT 1 FROM {INTO})"),
-    "truth_hits": duck(f"SELECT * FROM fx_cnv c WHERE sample_no = 2 AND EXISTS (SELECT 1 FROM {TRUTH})"),
-    "false_positives": duck(f"SELECT * FROM fx_cnv c WHERE sample_no = 2 AND p2 - p1 > 5 AND NOT EXISTS (SELECT 1 FROM {TRUTH})"),
-    "truth_hits_whole": duck(f"SELECT * FROM fx_cnv c WHERE EXISTS (SELECT 1 FROM {WHOLE_TRUTH})"),
-    "false_positives_whole": duck(f"SELECT * FROM fx_cnv c WHERE p2 - p1 > 5 AND NOT EXISTS (SELECT 1 FROM {WHOLE_TRUTH})"),
-    "point_in_interval_whole": duck("""SELECT read_id, sample_no, count(*) AS n, arg_max(c.type, (CAST(p1 AS BIGINT) * 100000 + p2) * 10 + CASE c.type WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 ELSE 3 END) AS type
+    "truth_hits": duck(f"SELECT * FROM fx_cnv c WHERE EXISTS (SELECT 1 FROM {WHOLE_TRUTH})"),
+    "false_positives": duck(f"SELECT * FROM fx_cnv c WHERE p2 - p1 > 5 AND NOT EXISTS (SELECT 1 FROM {WHOLE_TRUTH})"),
+    "point_in_interval": duck("""SELECT read_id, sample_no, count(*) AS n, arg_max(c.type, (CAST(p1 AS BIGINT) * 100000 + p2) * 10 + CASE c.type WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 ELSE 3 END) AS type
       FROM fx_read r JOIN fx_cnv c ON r.tid = c.tid AND c.p1 < r.pos AND r.pos < c.p2 GROUP BY read_id, sample_no"""),
-    "annotation_lookup_whole": duck("""SELECT c.*, o.other, coalesce(note, '#') AS note FROM fx_cnv c JOIN (SELECT DISTINCT sample_no AS other FROM fx_cnv) o ON o.other <> c.sample_no
-      LEFT JOIN (SELECT sample_no, tid, p1, p2, max(type) AS note FROM fx_cnv GROUP BY ALL) n ON n.sample_no = o.other AND c.tid = n.tid AND c.p1 = n.p1 AND c.p2 = n.p2"""),
-    "point_in_interval": duck("""SELECT read_id, count(*) AS n, arg_max(c.type, (CAST(p1 AS BIGINT) * 100000 + p2) * 10 + CASE c.type WHEN 'DEL' THEN 1 WHEN 'DUP' THEN 2 ELSE 3 END) AS type
-      FROM fx_read r JOIN fx_cnv c ON r.tid = c.tid AND c.p1 < r.pos AND r.pos < c.p2 WHERE c.sample_no = 3 GROUP BY read_id"""),
-    "annotation_lookup": duck("""SELECT c.tid, c.p1, c.p2, c.type, coalesce(note, '#') AS note FROM fx_cnv c
-      LEFT JOIN (SELECT tid, p1, p2, max(type) AS note FROM fx_cnv WHERE sample_no = 4 GROUP BY tid, p1, p2) n ON c.tid = n.tid AND c.p1 = n.p1 AND c.p2 = n.p2 WHERE sample_no = 5"""),
+    "annotation_lookup": duck("""SELECT c.*, CAST(coalesce(n.sample_no, 0) AS INT) AS other, coalesce(note, '#') AS note FROM fx_cnv c
+      LEFT JOIN (SELECT sample_no, tid, p1, p2, max(type) AS note FROM fx_cnv GROUP BY ALL) n ON n.sample_no <> c.sample_no AND c.tid = n.tid AND c.p1 = n.p1 AND c.p2 = n.p2"""),
     "distinct_calls": duck("SELECT tid, p1, p2, type FROM (SELECT *, row_number() OVER (PARTITION BY tid, p1, p2 ORDER BY sample_no, type) AS k FROM fx_cnv) WHERE k = 1"),
     "allele_counts": duck("SELECT site, grp, CAST(sum(gt) AS BIGINT) AS ac, 2 * count(*) AS an, CAST(sum(dp) AS BIGINT) AS dp FROM fx_geno GROUP BY site, grp"),
     "hwe_chi2": duck("""WITH g AS (SELECT site, count(*) FILTER (gt = 0) AS n0, count(*) FILTER (gt = 1) AS n1, count(*) FILTER (gt = 2) AS n2, count(*) AS n FROM fx_geno GROUP BY site),
       f AS (SELECT *, (2 * n0 + n1) / (2.0 * n) AS p FROM g), e AS (SELECT *, n * p * p AS e0, 2 * n * p * (1 - p) AS e1, n * (1 - p) * (1 - p) AS e2 FROM f)
       SELECT site, n0, n1, n2, round(CAST(CASE WHEN e0 > 0 THEN (n0 - e0) * (n0 - e0) / e0 ELSE 0.0 END + CASE WHEN e1 > 0 THEN (n1 - e1) * (n1 - e1) / e1 ELSE 0.0 END
         + CASE WHEN e2 > 0 THEN (n2 - e2) * (n2 - e2) / e2 ELSE 0.0 END AS DOUBLE), 6) AS chi2 FROM e"""),
-    "group_chi2": duck("""WITH g AS (SELECT site, CAST(sum(CASE WHEN grp = 'click' THEN gt ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN grp = 'click' THEN 2 - gt ELSE 0 END) AS BIGINT) AS b,
-      CAST(sum(CASE WHEN grp = 'view' THEN gt ELSE 0 END) AS BIGINT) AS c, CAST(sum(CASE WHEN grp = 'view' THEN 2 - gt ELSE 0 END) AS BIGINT) AS d FROM fx_geno WHERE grp IN ('click', 'view') GROUP BY site)
-      SELECT site, a, b, c, d, round(CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN CAST(a + b + c + d AS DOUBLE) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d)) ELSE 0.0 END, 6) AS chi2 FROM g"""),
+    "group_chi2": duck("""WITH g AS (SELECT site, grp, CAST(sum(gt) AS BIGINT) AS a, CAST(sum(2 - gt) AS BIGINT) AS b FROM fx_geno GROUP BY site, grp),
+      h AS (SELECT *, CAST(sum(a) OVER (PARTITION BY site) - a AS BIGINT) AS c, CAST(sum(b) OVER (PARTITION BY site) - b AS BIGINT) AS d FROM g)
+      SELECT site, grp, a, b, c, d, round(CASE WHEN CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d) > 0 THEN CAST(a + b + c + d AS DOUBLE) * (CAST(a AS DOUBLE) * d - CAST(b AS DOUBLE) * c) * (CAST(a AS DOUBLE) * d - CAST(b AS DOUBLE) * c)
+        / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)) ELSE 0.0 END, 6) AS chi2 FROM h"""),
     "running_median": """WITH l AS (SELECT event_id, value, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM events)
       SELECT event_id, CASE WHEN len(around) = 5 THEN list_sort(around)[3] ELSE value END AS median FROM l""",
 }

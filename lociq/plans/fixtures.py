@@ -21,8 +21,6 @@ TEXT = {
     "fx_cnv": """SELECT DISTINCT CAST(l_linenumber AS INT) AS sample_no, CAST(l_suppkey % 24 AS INT) AS tid,
       DAY[l_shipdate] AS p1, DAY[l_shipdate] + CAST(floor(l_quantity) AS INT) AS p2,
       CASE l_returnflag WHEN 'A' THEN 'DUP' WHEN 'R' THEN 'DEL' ELSE 'VAR' END AS type FROM lineitem""",
-    "fx_seq": """SELECT doc_id, translate(lower(substr(text, 1, 200)), 'abcdefghijklmnopqrstuvwxyz',
-      'ACGTNACGTACGTACGTACGTACGTA') AS seq FROM documents""",
     "fx_whole": """SELECT doc_id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz',
       'ACGTNACGTACGTACGTACGTACGTA') AS seq FROM documents""",
     "fx_region": """SELECT CAST(n_nationkey AS INT) AS region_no, CAST(n_nationkey % 24 AS INT) AS tid,

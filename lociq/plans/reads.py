@@ -125,12 +125,6 @@ def call_format(spark, sf_dir):
 
 
 def systematic_sample(spark, sf_dir):
-    """Every third read of a chromosome by position: ranks from counts of earlier stretches and ranks within one."""
-    ranked = rd.running(reads(spark, sf_dir).groupBy("tid", "pos").agg(F.count("*").alias("here"), F.min("read_id").alias("read_id")), "here", "rank")
-    return ranked.where("rank % 3 = 0").select("tid", "pos", "read_id")
-
-
-def systematic_sample_whole(spark, sf_dir):
     """Every third read of a chromosome by position and id: counts of earlier places and the rank at its own."""
     own = reads(spark, sf_dir).select("tid", "pos", "read_id")
     places = rd.running(own.groupBy("tid", "pos").agg(F.count("*").alias("here")), "here", "upto").select("tid", "pos", (F.col("upto") - F.col("here")).alias("base"))
@@ -167,7 +161,6 @@ QUERIES = {
     "clip_band_join": clip_band_join,
     "call_format": call_format,
     "systematic_sample": systematic_sample,
-    "systematic_sample_whole": systematic_sample_whole,
 }
 
 GOOD = "(flag // 4) % 2 = 0 AND (flag // 256) % 2 = 0 AND (flag // 512) % 2 = 0 AND (flag // 1024) % 2 = 0"
@@ -220,7 +213,5 @@ ORACLES = {
     "clip_band_join": duck(f"""WITH g AS (SELECT * FROM fx_read WHERE {GOOD}) SELECT a.tid, a.read_id, b.read_id AS other FROM g a JOIN g b ON a.tid = b.tid AND abs(a.pos - b.pos) <= 5
       WHERE (a.flag // 16) % 2 = 0 AND (b.flag // 16) % 2 = 1"""),
     "call_format": duck("""SELECT DISTINCT concat_ws(chr(9), 'chr' || (tid + 1), p1 + 1, p2 + 1, type, CASE WHEN type = 'DUP' THEN p1 - p2 ELSE p2 - p1 END) AS line FROM fx_cnv"""),
-    "systematic_sample_whole": duck("""SELECT tid, pos, read_id FROM (SELECT tid, pos, read_id, row_number() OVER (PARTITION BY tid ORDER BY pos, read_id) AS k FROM fx_read) WHERE k % 3 = 0"""),
-    "systematic_sample": duck("""WITH g AS (SELECT tid, pos, count(*) AS here, min(read_id) AS read_id FROM fx_read GROUP BY tid, pos),
-      r AS (SELECT tid, pos, read_id, sum(here) OVER (PARTITION BY tid ORDER BY pos) AS k FROM g) SELECT tid, pos, read_id FROM r WHERE k % 3 = 0"""),
+    "systematic_sample": duck("""SELECT tid, pos, read_id FROM (SELECT tid, pos, read_id, row_number() OVER (PARTITION BY tid ORDER BY pos, read_id) AS k FROM fx_read) WHERE k % 3 = 0"""),
 }

@@ -19,17 +19,17 @@ def likelihoods(spark, sf_dir):
     return view(spark, sf_dir, "fx_geno").selectExpr("site", "sample", "grp", *PL)
 
 
-def reads(spark, sf_dir, name="fx_seq"):
+def reads(spark, sf_dir, name="fx_whole"):
     return view(spark, sf_dir, name).selectExpr(*COLUMNS)
 
 
-def fastq_records(spark, sf_dir, of="fx_seq"):
+def fastq_records(spark, sf_dir):
     name = F.concat(F.lit("r"), "doc_id")
-    return reads(spark, sf_dir, of).select("doc_id", fq.record(name, F.col("flag"), F.col("seq"), F.col("qual")).alias("value"))
+    return reads(spark, sf_dir).select("doc_id", fq.record(name, F.col("flag"), F.col("seq"), F.col("qual")).alias("value"))
 
 
-def quality_trim(spark, sf_dir, of="fx_seq"):
-    return reads(spark, sf_dir, of).select("doc_id", fq.trimmed(F.col("qual"), F.col("flag").bitwiseAND(16) != 0).alias("trimmed"))
+def quality_trim(spark, sf_dir):
+    return reads(spark, sf_dir).select("doc_id", fq.trimmed(F.col("qual"), F.col("flag").bitwiseAND(16) != 0).alias("trimmed"))
 
 
 def event_sessions(spark, sf_dir):
@@ -48,8 +48,6 @@ QUERIES = {
     "quality_strata": lambda s, d: va.quality_strata(view(s, d, "lineitem").selectExpr(*RECORD.split(", "))),
     "fastq_records": fastq_records,
     "quality_trim": quality_trim,
-    "fastq_records_whole": lambda s, d: fastq_records(s, d, "fx_whole"),
-    "quality_trim_whole": lambda s, d: quality_trim(s, d, "fx_whole"),
     "event_sessions": event_sessions,
     "event_windows": event_windows,
 }
@@ -68,24 +66,11 @@ ORACLES = {
         FROM (SELECT CAST(floor(qual) AS INT) AS qual, known, transition FROM (SELECT {RECORD} FROM lineitem))
         WINDOW w AS (ORDER BY qual DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "fastq_records": duck(
-        f"""SELECT doc_id, concat_ws(chr(10), concat('@r', doc_id, CASE flag & 192 WHEN 64 THEN '/1' WHEN 128 THEN '/2' ELSE '' END),
-        CASE WHEN (flag & 16) <> 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, '+',
-        CASE WHEN (flag & 16) <> 0 THEN reverse(qual) ELSE qual END) AS value FROM (SELECT {READ} FROM fx_seq)"""
-    ),
-    "quality_trim": duck(
-        f"""WITH q AS (SELECT doc_id, CASE WHEN (flag & 16) <> 0 THEN qual ELSE reverse(qual) END AS qual FROM (SELECT {READ} FROM fx_seq)),
-        c AS (SELECT doc_id, qual, unnest(range(length(qual) - 34)) AS i FROM q WHERE length(qual) > 34),
-        s AS (SELECT doc_id, i, sum(53 - unicode(substr(qual, CAST(i + 1 AS INT), 1))) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM c),
-        o AS (SELECT *, min(CASE WHEN total < 0 THEN i END) OVER (PARTITION BY doc_id) AS stop FROM s),
-        b AS (SELECT doc_id, first(i ORDER BY total DESC, i) AS place FROM o WHERE total > 0 AND (stop IS NULL OR i < stop) GROUP BY doc_id)
-        SELECT doc_id, CAST(coalesce(place, 0) AS INT) AS trimmed FROM q LEFT JOIN b USING (doc_id)"""
-    ),
-    "fastq_records_whole": duck(
         f"""SELECT doc_id, concat_ws(chr(10), concat('@r', doc_id, CASE flag & 192 WHEN 64 THEN '/1' WHEN 128 THEN '/2' ELSE '' END),
         CASE WHEN (flag & 16) <> 0 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, '+',
         CASE WHEN (flag & 16) <> 0 THEN reverse(qual) ELSE qual END) AS value FROM (SELECT {READ} FROM fx_whole)"""
     ),
-    "quality_trim_whole": duck(
+    "quality_trim": duck(
         f"""WITH q AS (SELECT doc_id, CASE WHEN (flag & 16) <> 0 THEN qual ELSE reverse(qual) END AS qual FROM (SELECT {READ} FROM fx_whole)),
         c AS (SELECT doc_id, unnest(range(length(qual) - 34)) AS i, unnest(list_slice(string_split(qual, ''), 1, length(qual) - 34)) AS m FROM q WHERE length(qual) > 34),
         s AS (SELECT doc_id, i, sum(53 - unicode(m)) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM c),
