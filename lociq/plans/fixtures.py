@@ -65,6 +65,20 @@ TEXT = {
       CASE WHEN i < 16 THEN concat(substr(seq, f2 - a + 2, a), substr(seq, r1 + 1, 60 - a)) WHEN i % 2 = 0 THEN substr(seq, fpos + 1, 60) ELSE substr(seq, rpos + 1, 60) END AS seq
       FROM (SELECT *, CAST(14 + (i * 7 + k) % 33 AS INT) AS a, CAST(f2 - 62 - 5 * CAST(floor(i / 2.0) AS INT) + 40 AS INT) AS fpos, CAST(r1 + 60 - 5 * CAST(floor(i / 2.0) AS INT) + 40 AS INT) AS rpos
         FROM (SELECT *, EACH[0;31] AS i FROM READ[fx_site] t) d) e""",
+    # Reads of two haplotypes that differ in the middle of some stretches of 25 letters: het says which haplotype has the other letter.
+    "fx_hap": """SELECT CAST(tid * 1000000 + k * 3 + i AS BIGINT) AS read_id, tid, CAST(25 * k + 5 * i AS INT) AS pos, CAST(60 AS INT) AS l_qseq, CAST((k * 13 + i * 17) % 40 + 20 AS INT) AS mapq, CAST(16 * ((k + i) % 2) AS INT) AS flag, '60M' AS cigar,
+      CAST(h AS INT) AS hap, substr(concat(CASE WHEN (k * k + tid) % 5 % 3 = h THEN concat(substr(a, 1, 12), translate(substr(a, 13, 1), 'ACGTN', 'GTACA'), substr(a, 14)) ELSE a END,
+        CASE WHEN ((k + 1) * (k + 1) + tid) % 5 % 3 = h THEN concat(substr(b, 1, 12), translate(substr(b, 13, 1), 'ACGTN', 'GTACA'), substr(b, 14)) ELSE b END,
+        CASE WHEN ((k + 2) * (k + 2) + tid) % 5 % 3 = h THEN concat(substr(c, 1, 12), translate(substr(c, 13, 1), 'ACGTN', 'GTACA'), substr(c, 14)) ELSE c END), CAST(5 * i + 1 AS INT), 60) AS seq,
+      translate(substr(concat(a, b, c), CAST(5 * i + 1 AS INT), 60), 'ACGTN', 'I5?+#') AS qual, substr(concat(a, b, c), CAST(5 * i + 1 AS INT), 60) AS ref
+      FROM (SELECT tid, k, i, (k * 7 + i * 5 + tid) % 2 AS h, substr(seq, CAST(25 * k + 1 AS INT), 25) AS a, substr(seq, CAST(25 * k + 26 AS INT), 25) AS b, substr(seq, CAST(25 * k + 51 AS INT), 25) AS c
+        FROM (SELECT *, EACH[0;2] AS i FROM (SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 75) / 25.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 300) x) y) z""",
+    # Reads with one letter inserted or deleted, over letters with long runs of equal ones, in four groups.
+    "fx_gap": """SELECT CAST(tid * 100000 + k AS BIGINT) AS read_id, tid, CAST(20 * k AS INT) AS pos, CAST((k * 13 + tid * 7) % 61 AS INT) AS mapq, CASE WHEN k % 9 = 8 THEN NULL ELSE concat('rg', k % 4) END AS grp,
+      CASE k % 3 WHEN 0 THEN '60M' WHEN 1 THEN concat(m, 'M1D', 60 - m, 'M') ELSE concat(m, 'M1I', 59 - m, 'M') END AS cigar,
+      CASE k % 3 WHEN 0 THEN substr(raw, 1, 60) WHEN 1 THEN concat(substr(raw, 1, m), substr(raw, m + 2)) ELSE concat(substr(raw, 1, m), 'A', substr(raw, m + 1, 59 - m)) END AS seq
+      FROM (SELECT tid, k, CAST(5 + (k * 7 + tid) % 50 AS INT) AS m, translate(substr(seq, CAST(20 * k + 1 AS INT), 61), 'GT', 'AA') AS raw FROM (
+        SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 61) / 20.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 61) e) c""",
     # Pairs with both reads' own fields.
     "fx_mates": """SELECT a.template_id, a.tid, a.read_id AS f_id, a.pos AS f_pos, a.l_qseq AS f_len, a.flag AS f_flag, a.mapq AS f_mapq,
       b.read_id AS r_id, b.pos AS r_pos, b.l_qseq AS r_len, b.flag AS r_flag, b.mapq AS r_mapq, b.pos + b.l_qseq - a.pos AS isize
