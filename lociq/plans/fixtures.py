@@ -71,8 +71,8 @@ TEXT = {
         CASE WHEN ((k + 1) * (k + 1) + tid) % 5 % 3 = h THEN concat(substr(b, 1, 12), translate(substr(b, 13, 1), 'ACGTN', 'GTACA'), substr(b, 14)) ELSE b END,
         CASE WHEN ((k + 2) * (k + 2) + tid) % 5 % 3 = h THEN concat(substr(c, 1, 12), translate(substr(c, 13, 1), 'ACGTN', 'GTACA'), substr(c, 14)) ELSE c END), CAST(5 * i + 1 AS INT), 60) AS seq,
       translate(substr(concat(a, b, c), CAST(5 * i + 1 AS INT), 60), 'ACGTN', 'I5?+#') AS qual, substr(concat(a, b, c), CAST(5 * i + 1 AS INT), 60) AS ref
-      FROM (SELECT tid, k, i, (k * 7 + i * 5 + tid) % 2 AS h, substr(seq, CAST(25 * k + 1 AS INT), 25) AS a, substr(seq, CAST(25 * k + 26 AS INT), 25) AS b, substr(seq, CAST(25 * k + 51 AS INT), 25) AS c
-        FROM (SELECT *, EACH[0;2] AS i FROM (SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 75) / 25.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 300) x) y) z""",
+      FROM (SELECT tid, k, i, (k * 7 + i * 5 + tid) % 2 AS h, substr(raw, 1, 25) AS a, substr(raw, 26, 25) AS b, substr(raw, 51) AS c
+        FROM (SELECT *, EACH[0;2] AS i FROM (SELECT tid, k, substr(seq, CAST(25 * k + 1 AS INT), 75) AS raw FROM (SELECT tid, seq, EACH[0;CAST(floor((length(seq) - 75) / 25.0) AS INT)] AS k FROM READ[fx_ref] r WHERE length(seq) >= 300) x) w) y) z""",
     # Reads with one letter inserted or deleted, over letters with long runs of equal ones, in four groups.
     "fx_gap": """SELECT CAST(tid * 100000 + k AS BIGINT) AS read_id, tid, CAST(20 * k AS INT) AS pos, CAST((k * 13 + tid * 7) % 61 AS INT) AS mapq, CASE WHEN k % 9 = 8 THEN NULL ELSE concat('rg', k % 4) END AS grp,
       CASE k % 3 WHEN 0 THEN '60M' WHEN 1 THEN concat(m, 'M1D', 60 - m, 'M') ELSE concat(m, 'M1I', 59 - m, 'M') END AS cigar,
