@@ -36,3 +36,16 @@ def quality_strata(records: DataFrame) -> DataFrame:
     )
     w = Window.orderBy(F.desc("qual")).rowsBetween(Window.unboundedPreceding, 0)
     return counts.select("qual", *[F.sum(c).over(w).alias(c) for c in ("records", "known", "transitions")])
+
+
+def annotation_maxima(genotypes: DataFrame, least_gq: int = 20) -> DataFrame:
+    """site, mxsp, mxgq: the greatest strand bias and genotype quality of a site's samples that aren't of the reference twice.
+
+    `genotypes` has (site, gt, gq, sp), gt being the number of other alleles; null qualities count as 0. The more
+    heterozygous samples of good quality a site has, the less its greatest bias tells: it goes down by ten times their logarithm.
+    """
+    other = F.col("gt") > 0
+    most = lambda c: F.coalesce(F.max(F.when(other, F.greatest(c, F.lit(0)))), F.lit(0))
+    sites = genotypes.groupBy("site").agg(most("sp").alias("sp"), most("gq").alias("mxgq"), F.count_if((F.col("gt") == 1) & (F.col("gq") >= least_gq)).alias("hets"))
+    down = F.when(F.col("hets") > 0, F.floor(4.343 * F.log("hets") + 0.499).cast("int")).otherwise(0)
+    return sites.select("site", F.greatest(F.col("sp") - down, F.lit(0)).alias("mxsp"), "mxgq")
