@@ -65,18 +65,25 @@ def best_overlap(a: str, b: str, least: int, errors: int) -> tuple[int, int]:
 RUNS = T.ArrayType(T.StructType([T.StructField("beg", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-@pandas_udf(RUNS)
-def n_runs_of(s: pd.Series) -> pd.Series:
+def n_runs_of(column: str) -> Column:
     """As n_runs, in time linear in the length."""
-    return s.map(lambda t: None if t is None else [{"beg": m.start(), "end": m.end()} for m in re.finditer("N+", t)])
+
+    @pandas_udf(RUNS)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else [{"beg": m.start(), "end": m.end()} for m in re.finditer("N+", t)])
+
+    return run(column)
 
 
 OVERLAP = T.StructType([T.StructField("length", T.IntegerType()), T.StructField("mismatches", T.IntegerType())])
 
 
-@pandas_udf(OVERLAP)
-def overlap_of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([best_overlap(x, y, 10, 2) for x, y in zip(a, b, strict=True)], columns=["length", "mismatches"])
+def overlap_of(*columns: str) -> Column:
+    @pandas_udf(OVERLAP)
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([best_overlap(x, y, 10, 2) for x, y in zip(a, b, strict=True)], columns=["length", "mismatches"])
+
+    return run(*columns)
 
 
 def tandem_length(s: str, longest: int = 5, errors: int = 1) -> int:
@@ -100,9 +107,12 @@ def tandem_length(s: str, longest: int = 5, errors: int = 1) -> int:
     return best
 
 
-@pandas_udf(T.IntegerType())
-def tandem_of(s: pd.Series) -> pd.Series:
-    return s.map(tandem_length)
+def tandem_of(column: str) -> Column:
+    @pandas_udf(T.IntegerType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(tandem_length)
+
+    return run(column)
 
 
 def common_substring(a: str, b: str) -> tuple[int, int, int]:
@@ -120,9 +130,12 @@ def common_substring(a: str, b: str) -> tuple[int, int, int]:
 COMMON = T.StructType([T.StructField(n, T.IntegerType()) for n in ("length", "at", "other_at")])
 
 
-@pandas_udf(COMMON)
-def common_of(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([common_substring(x, y) for x, y in zip(a, b, strict=True)], columns=["length", "at", "other_at"])
+def common_of(*columns: str | Column) -> Column:
+    @pandas_udf(COMMON)
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([common_substring(x, y) for x, y in zip(a, b, strict=True)], columns=["length", "at", "other_at"])
+
+    return run(*columns)
 
 
 def same_run(x: np.ndarray, y: np.ndarray, step: int = 64) -> int:
