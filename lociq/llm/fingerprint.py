@@ -29,7 +29,7 @@ CYCLES = 2
 #: Most pairs to try again whose numbers are broadcast; more are joined by a shuffle.
 FEW = 100_000
 #: Rows of a bucket, the most buckets, and buckets of a task: a task's sketches should fit into its memory.
-BUCKET_ROWS, MOST_BUCKETS, TASK_BUCKETS = 250, 1 << 16, 4
+BUCKET_ROWS, MOST_BUCKETS, TASK_BUCKETS = 250, 1 << 16, 2
 
 
 def digests(text: Column, words: int = WORDS) -> Column:
