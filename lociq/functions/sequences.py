@@ -117,14 +117,37 @@ def tandem_of(column: str) -> Column:
 
 def common_substring(a: str, b: str) -> tuple[int, int, int]:
     """Length of the longest string that both hold, and where it first begins in each (0, 0, 0: none)."""
-    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
-    best, run = (0, 0, 0), np.zeros(len(y) + 1, np.int64)
-    for i, c in enumerate(x):
-        run = np.append(0, np.where(y == c, run[:-1] + 1, 0))
-        j = int(run.argmax())
-        if run[j] > best[0]:
-            best = (int(run[j]), i + 1 - int(run[j]), j - int(run[j]))
-    return best
+    return tuple(common_substrings([a], [b])[0].tolist())
+
+
+def letter_table(texts: list[str], other: int) -> np.ndarray:
+    """A row of code points for each text, filled up with `other`."""
+    sizes = np.array([len(t) for t in texts])
+    out = np.full((len(texts), max(1, sizes.max(initial=0))), other, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def common_substrings(a: list[str], b: list[str], at_once: int = 1 << 18) -> np.ndarray:
+    """As common_substring() for each pair, pairs of like lengths side by side; about `at_once` letters at a time."""
+    out = np.zeros((len(a), 3), np.int64)
+    order = sorted(range(len(a)), key=lambda i: max(len(a[i]), len(b[i])))
+    while order:
+        longest = max(1, len(a[order[-1]]), len(b[order[-1]]))
+        own = order[-max(1, at_once // longest) :]
+        del order[-len(own) :]
+        x, y = letter_table([a[i] for i in own], -1), letter_table([b[i] for i in own], -2)
+        best, run = np.zeros((len(own), 3), np.int64), np.zeros((len(own), y.shape[1] + 1), np.int32)
+        for i in range(x.shape[1]):
+            new = run[:, :-1] + 1
+            new[y != x[:, i : i + 1]] = 0
+            run[:, 1:] = new
+            j = run.argmax(axis=1)
+            n = run[np.arange(len(own)), j]
+            more = np.flatnonzero(n > best[:, 0])
+            best[more] = np.stack([n, i + 1 - n, j - n], axis=1)[more]
+        out[own] = best
+    return out
 
 
 COMMON = T.StructType([T.StructField(n, T.IntegerType()) for n in ("length", "at", "other_at")])
@@ -133,7 +156,7 @@ COMMON = T.StructType([T.StructField(n, T.IntegerType()) for n in ("length", "at
 def common_of(*columns: str | Column) -> Column:
     @pandas_udf(COMMON)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([common_substring(x, y) for x, y in zip(a, b, strict=True)], columns=["length", "at", "other_at"])
+        return pd.DataFrame(common_substrings(a.tolist(), b.tolist()), columns=["length", "at", "other_at"])
 
     return run(*columns)
 
