@@ -258,3 +258,69 @@ def two_states(classes: np.ndarray, emit: np.ndarray, move: np.ndarray) -> np.nd
         path[i] = s
         s = came[i, s]
     return path
+
+
+def sparse_segments(at: np.ndarray, gain: np.ndarray, n: int, least: int) -> list[tuple[int, int]]:
+    """As best_segments() for `n` steps of -1, but of `gain` (above 0) at the places `at`; work grows with these places only."""
+    out, first, at, gain = [], 0, at.tolist(), gain.tolist()
+    while first < len(at):
+        total, best, best_k, beg, before = 0, 0, first, at[first], at[first] - 1
+        for k in range(first, len(at)):
+            gap = at[k] - before - 1
+            if total <= gap:  # back at 0 before the next gain
+                if best >= least:
+                    break
+                total, best, beg = 0, 0, at[k]
+            else:
+                total -= gap
+            total, before = total + gain[k], at[k]
+            if total > best:
+                best, best_k = total, k
+        if best < least:
+            break
+        out.append((beg, at[best_k]))
+        first = best_k + 1
+    return out
+
+
+def two_states_of(classes: list[np.ndarray], emit: np.ndarray, move: np.ndarray, block: int = 256) -> list[np.ndarray]:
+    """two_states() of each of several sequences, all cut into blocks that are stepped through side by side.
+
+    Only the difference of the two scores counts. A step clamps it and adds to it, and so do any number of steps, so a
+    block's steps are put together first, then blocks begin where the one before ends. Changing states mustn't pay.
+    """
+    low, high = move[1][0] - move[0][0], move[1][1] - move[0][1]
+    if low > high:
+        raise ValueError("changing states must cost more than staying")
+    added = emit[0] - emit[1] + move[0][0] - move[1][1]
+    sizes = [-(-len(c) // block) for c in classes]
+    steps = np.zeros((sum(sizes), block), np.int64)
+    edges = np.cumsum([0, *sizes])
+    for c, a in zip(classes, edges[:-1].tolist(), strict=True):
+        steps[a : a + -(-len(c) // block)].reshape(-1)[: len(c)] = added[c]
+    steps = np.ascontiguousarray(steps.T)
+    wide = np.int64(1) << 60
+    own, least, most = np.zeros(steps.shape[1], np.int64), np.full(steps.shape[1], -wide), np.full(steps.shape[1], wide)
+    for s in steps:
+        own, least, most = own + s, np.clip(least, low, high) + s, np.clip(most, low, high) + s
+    starts = np.zeros(steps.shape[1], np.int64)
+    fresh = set(edges[:-1].tolist())
+    for k, (a, x, y) in enumerate(zip(own.tolist(), least.tolist(), most.tolist(), strict=True)):
+        if k + 1 < len(starts) and k + 1 not in fresh:
+            starts[k + 1] = min(max(int(starts[k]) + a, x), y)
+    seen = np.empty((block + 1, steps.shape[1]), np.int64)
+    seen[0] = starts
+    for t, s in enumerate(steps):
+        seen[t + 1] = np.clip(seen[t], low, high) + s
+    before, after = (np.ascontiguousarray(x.T) for x in (seen[:-1], seen[1:]))
+    out = []
+    for c, a in zip(classes, edges[:-1].tolist(), strict=True):
+        rows = slice(a, a + -(-len(c) // block))
+        d = before[rows].reshape(-1)[: len(c)]
+        # At these places both states come from one: 1 at or below the low bound, 0 above the high one.
+        forced = np.append((d[1:] <= low) | (d[1:] > high), True) if len(c) else np.empty(0, bool)
+        last = after[rows].reshape(-1)[len(c) - 1] if len(c) else 0
+        value = np.append(d[1:] <= low, not last > 0)
+        fixed = np.flatnonzero(forced)
+        out.append(value[fixed[np.searchsorted(fixed, np.arange(len(c)))]].astype(np.int8))
+    return out

@@ -168,3 +168,32 @@ def by_stretch(reads: DataFrame, run: Callable[[Bases], dict[str, np.ndarray] |
             yield from counted(keys, bodies)
 
     return packed.repartition("tid", "stretch").sortWithinPartitions("tid", "stretch").mapInArrow(meet, schema)
+
+
+def by_contig(pieces: DataFrame, run: Callable[[list[int], list[list[tuple[int, bytes]]]], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
+    """run(tids, their (stretch, body) in order) of some contigs at once, from `pieces` (tid, stretch, body) of by_stretch()."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def counted(tids, parts):
+        out = run(tids, parts)
+        if out is not None and len(out["tid"]):
+            yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in names], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tids: list[int] = []
+        parts: list[list[tuple[int, bytes]]] = []
+        held = 0
+        for b in batches:
+            for tid, stretch, body in zip(*(b.column(c).to_pylist() for c in ("tid", "stretch", "body")), strict=True):
+                if not tids or tids[-1] != tid:
+                    if held >= AT_ONCE:
+                        yield from counted(tids, parts)
+                        tids, parts, held = [], [], 0
+                    tids.append(tid)
+                    parts.append([])
+                parts[-1].append((stretch, body))
+                held += len(body)
+        if tids:
+            yield from counted(tids, parts)
+
+    return pieces.repartition("tid").sortWithinPartitions("tid", "stretch").mapInArrow(meet, schema)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociq.functions import cigar as cg
 from lociq.functions import sequences as sq
-from lociq.functions import statistics as st
 from lociq.operators import association as ac
 from lociq.operators import bases as bs
 from lociq.operators import depth as dp
@@ -140,33 +138,12 @@ def outside_n_regions(spark, sf_dir):
 
 def mismatch_masks(spark, sf_dir):
     """Stretches of a contig in which reads keep differing from it."""
-    counts = bs.exploded(view(spark, sf_dir, "fx_aln")).groupBy("tid", "site").agg(F.count_if(F.col("base") != F.col("ref_base")).alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("site")
-        found = st.best_segments((40 * pdf["n"] - 1).to_numpy(), 45)
-        at = pdf["site"].to_numpy()
-        return pd.DataFrame({"tid": pdf["tid"].iloc[0], "beg": [at[a] for a, _ in found], "fin": [at[b] for _, b in found]}).astype({"beg": "int32", "fin": "int32"})
-
-    return counts.groupBy("tid").applyInPandas(run, "tid long, beg int, fin int")
+    return bs.mismatch_masks(view(spark, sf_dir, "fx_aln"))
 
 
 def target_segments(spark, sf_dir):
     """Stretches of a contig that a two-state chain takes for covered, from good bases at each position."""
-    sites = bs.majority(rd.usable(view(spark, sf_dir, "fx_aln"))).select("tid", "site", "depth", "share")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("site")
-        n = int(pdf["site"].iloc[-1]) + 1
-        classes = np.zeros(n, int)
-        classes[pdf["site"]] = np.where(pdf["share"] * 2 > pdf["depth"], 2, 1)
-        path = st.two_states(classes, np.array([[0, 0, 0], [-4, 1, 2]]), np.array([[0, -20], [-10, 0]]))
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], path, [0]])))
-        return pd.DataFrame({"tid": pdf["tid"].iloc[0], "beg": edges[::2], "fin": edges[1::2]}).astype({"beg": "int32", "fin": "int32"})
-
-    return sites.groupBy("tid").applyInPandas(run, "tid long, beg int, fin int")
+    return bs.target_segments(rd.usable(view(spark, sf_dir, "fx_aln")))
 
 
 def het_in_calls(spark, sf_dir):
