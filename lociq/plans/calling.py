@@ -53,7 +53,7 @@ def derivative_depth(spark, sf_dir):
 
 
 def pair_evidence(spark, sf_dir):
-    return ca.pair_evidence(candidates(spark, sf_dir), mate_rows(spark, sf_dir), INSERT, SD, LONGEST)
+    return ca.pair_evidence(candidates(spark, sf_dir).persist(), mate_rows(spark, sf_dir).persist(), INSERT, SD, LONGEST)
 
 
 def insert_sample_stats(spark, sf_dir):
